@@ -47,7 +47,10 @@ def encode_words(words: Column | str, vocab: Column | str) -> Column:
     return (
         F.when(F.size(vocab) <= _LATIN1, _encode_small(words, vocab))
         .when(F.size(vocab) <= _MAX_VOCABULARY, _encode_large(words, vocab))
-        .otherwise(F.raise_error(F.lit("too many distinct words in one pair")).cast("string"))
+        .when(
+            F.size(vocab) > _MAX_VOCABULARY,
+            F.raise_error(F.lit("too many distinct words in one pair")).cast("string"),
+        )
     )
 
 

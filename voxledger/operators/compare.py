@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxledger.functions.distance import add_word_edits, error_rate
 
@@ -36,10 +37,11 @@ def gather_systems(
             F.struct(F.col(trans).alias("text"), gold.alias("gold"), code_col.alias("code")).alias("_rec"),
         )
 
-    code_col = F.col(code).cast("int") if code in baseline.columns else F.lit(None).cast("int")
+    code_type = baseline.schema[code].dataType if code in baseline.columns else T.IntegerType()
+    code_col = F.col(code) if code in baseline.columns else F.lit(None).cast(code_type)
     stacked = tagged(baseline, -1, baseline_key, F.col(gold_key), code_col)
     for i, (_, df, trans) in enumerate(systems):
-        stacked = stacked.unionAll(tagged(df, i, trans, F.lit(None).cast("string"), F.lit(None).cast("int")))
+        stacked = stacked.unionAll(tagged(df, i, trans, F.lit(None).cast("string"), F.lit(None).cast(code_type)))
 
     def last_of(spec: int) -> Column:
         return F.max_by("_rec", F.when(F.col("_spec") == spec, F.col("_pos")))
@@ -95,10 +97,8 @@ def compare_wide(
 
     entries = F.array(*[entry(i, name) for i, name in enumerate(systems)])
     qualifying = F.filter(entries, lambda x: (x["rank"] < 0) & (F.abs(x["rank"]) >= min_diff))
-    ranked = scored.withColumn("_ranked", F.sort_array(qualifying)).filter(F.size("_ranked") > 0)
-    return ranked.select(
-        *[c for c in kept if c not in systems],
-        (F.col("_wb") * 100).alias("wer_base"),
+    ranked = scored.withColumn("_ranked", F.sort_array(qualifying))
+    outcome = F.struct(
         F.transform(
             "_ranked",
             lambda x: F.struct(
@@ -111,6 +111,16 @@ def compare_wide(
         F.get("_ranked", F.lit(0))["rank"].alias("extreme"),
         F.array_min(F.transform("_ranked", lambda x: x["spec"])).alias("first_spec"),
     )
+    # A plain filter on the scores would be pushed below them and score every row twice; a
+    # filter on a generated column stays above its generator.
+    generated = ranked.select(
+        *[c for c in kept if c not in systems],
+        (F.col("_wb") * 100).alias("wer_base"),
+        F.explode_outer(F.when(F.size("_ranked") > 0, F.array(outcome))).alias("_outcome"),
+    )
+    return generated.filter(F.col("_outcome").isNotNull()).select(
+        *[c for c in kept if c not in systems], "wer_base", "_outcome.*"
+    )
 
 
 RECORD_ORDER = ("extreme", "first_spec", "pos")

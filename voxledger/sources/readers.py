@@ -152,6 +152,8 @@ def read_optional(
         for name, path in present.items()
     ]
     rows = reduce(DataFrame.unionByName, parts, empty)
-    bad = rows.filter(F.col(CORRUPT).isNotNull()).select("input", "path", F.lit("bad json").alias("reason")).distinct()
-    good = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "path")
-    return good, skipped.unionByName(bad)
+    # Spark refuses to read the corrupt-record column alone, so the whole record is read.
+    whole = F.length(F.to_json(F.struct(*schema.names))) >= 0
+    bad = rows.filter(F.col(CORRUPT).isNotNull() & whole).select("input", "path", F.lit("bad json").alias("reason"))
+    good = rows.filter(F.col(CORRUPT).isNull() & whole).drop(CORRUPT, "path")
+    return good, skipped.unionByName(bad.distinct())

@@ -47,7 +47,8 @@ def write_partitioned(
     many tasks per value, so a value with a third of all rows is not written by one task.
     """
     if files_per_value:
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in by]), F.lit(files_per_value))
+        row = F.to_json(F.struct(*[c for c in df.columns if c not in by]))
+        salt = F.pmod(F.xxhash64(row), F.lit(files_per_value))
         df = df.withColumn("_salt", salt).repartition(*by, "_salt").drop("_salt")
     df.write.mode(mode).partitionBy(*by).format(format).save(path)
 
