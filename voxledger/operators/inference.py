@@ -82,9 +82,10 @@ def request_table(
     df: DataFrame, audio: str, language: Column, *, model: str, template: str = TRANSLATE_PROMPT, out: str = "request"
 ) -> DataFrame:
     """One JSON request per row: instruction text and the recording in base64."""
+    one_line = F.translate(F.base64(audio), "\r\n", "")
     body = F.struct(
         F.lit(model).alias("model"),
         prompt(template, language).alias("text"),
-        F.struct(F.base64(audio).alias("data"), F.lit("wav").alias("format")).alias("input_audio"),
+        F.struct(one_line.alias("data"), F.lit("wav").alias("format")).alias("input_audio"),
     )
     return df.withColumn(out, F.to_json(body))

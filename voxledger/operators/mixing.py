@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxledger.functions import text
@@ -47,11 +47,11 @@ def interleave_splits(
     return interleave(df, column, splits.split("+"), order, out=out)
 
 
-def repeat_to_n(df: DataFrame, n: int, order: Sequence[str], *, out: str = "repeat_pos") -> DataFrame:
+def repeat_to_n(df: DataFrame, n: int | Column, order: Sequence[str], *, out: str = "repeat_pos") -> DataFrame:
     """Cycle through the table in order until ``n`` rows are produced."""
     numbered = with_ordinal(df, order, out="_at")
     size = numbered.agg(F.count("*").alias("n")).scalar()
-    copies = F.ceil((F.lit(n) - F.col("_at")) / size)
+    copies = F.ceil(((n if isinstance(n, Column) else F.lit(n)) - F.col("_at")) / size)
     epochs = F.when(copies > 0, F.sequence(F.lit(0).cast("bigint"), copies - 1))
     return numbered.withColumn("_epoch", F.explode(epochs)).select(
         *df.columns, (F.col("_epoch") * size + F.col("_at")).alias(out)

@@ -85,9 +85,9 @@ def translation_lookup(spark, d):
     "zip_predictions",
     PAIRS_SQL
     + f""", lines AS (
-      SELECT language, pos * 2 AS at, concat('  ', sys_plus, ' ') AS value FROM pairs UNION ALL
+      SELECT language, pos * 2 AS line_no, concat('  ', sys_plus, ' ') AS value FROM pairs UNION ALL
       SELECT language, pos * 2 + 1, '  ' FROM pairs WHERE pos % 5 = 0),
-    l AS (SELECT language, {strip_sql('value')} AS line, row_number() OVER (PARTITION BY language ORDER BY at) AS n
+    l AS (SELECT language, {strip_sql('value')} AS line, row_number() OVER (PARTITION BY language ORDER BY line_no) AS n
       FROM lines WHERE trim(value) <> ''),
     r AS (SELECT pos, language, row_number() OVER (PARTITION BY language ORDER BY pos) AS n FROM pairs)
     SELECT pos, language, line AS asr_corrector_pred FROM r JOIN l USING (language, n)""",
@@ -148,12 +148,14 @@ def interleave_splits(spark, d):
 
 @query(
     "repeat_to_n",
-    """WITH n AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS at, count(*) OVER () AS size FROM benchmark),
-    e AS (SELECT unnest(range(0, 1000)) AS epoch)
-    SELECT item_id, CAST(epoch * size + at AS BIGINT) AS repeat_pos FROM n, e WHERE epoch * size + at < 1000""",
+    """WITH b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS seq, count(*) OVER () AS size FROM benchmark),
+    d AS (SELECT count(*) AS n FROM documents), e AS (SELECT unnest(range(0, (SELECT n FROM d))) AS epoch)
+    SELECT item_id, CAST(epoch * size + seq AS BIGINT) AS repeat_pos FROM b, e, d WHERE epoch * size + seq < n""",
 )
 def repeat_to_n(spark, d):
-    return mixing.repeat_to_n(table(spark, d, "benchmark").select("item_id"), 1000, ["item_id"])
+    """Cycle the short table until it has as many rows as the long one."""
+    n = table(spark, d, "documents").agg(F.count("*")).scalar()
+    return mixing.repeat_to_n(table(spark, d, "benchmark").select("item_id"), n, ["item_id"])
 
 
 @query(
@@ -267,7 +269,7 @@ def step_budget(spark, d):
 
 @query(
     "tag_list",
-    "SELECT string_agg(lang, ',' ORDER BY at) AS tags FROM (SELECT lang, min(doc_id) AS at FROM documents GROUP BY lang)",
+    "SELECT string_agg(lang, ',' ORDER BY first_doc) AS tags FROM (SELECT lang, min(doc_id) AS first_doc FROM documents GROUP BY lang)",
 )
 def tag_list(spark, d):
     return rollup.tag_list(table(spark, d, "documents"), "lang", "doc_id")
@@ -285,12 +287,12 @@ def best_run(spark, d):
 
 @query(
     "early_stop",
-    """WITH e AS (SELECT user_id, event_id, value, row_number() OVER w - 1 AS at,
+    """WITH e AS (SELECT user_id, event_id, value, row_number() OVER w - 1 AS seq,
         max(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events
         WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-    g AS (SELECT *, max(CASE WHEN best IS NULL OR value > best THEN at END) OVER (PARTITION BY user_id ORDER BY at) AS last FROM e),
-    s AS (SELECT user_id, event_id AS stop_step, at + 1 AS n_evals, best FROM g WHERE at - last >= 2
-      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY at) = 1),
+    g AS (SELECT *, max(CASE WHEN best IS NULL OR value > best THEN seq END) OVER (PARTITION BY user_id ORDER BY seq) AS last FROM e),
+    s AS (SELECT user_id, event_id AS stop_step, seq + 1 AS n_evals, best FROM g WHERE seq - last >= 2
+      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq) = 1),
     a AS (SELECT user_id, count(*) AS n, max(value) AS overall FROM events GROUP BY ALL)
     SELECT user_id, stop_step, coalesce(n_evals, n) AS n_evals, coalesce(best, overall) AS best_value FROM a LEFT JOIN s USING (user_id)""",
 )
