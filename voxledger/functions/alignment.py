@@ -4,8 +4,8 @@ The split depends on which of several cheapest alignments is taken: walking back
 a match is preferred, then a substitution, a deletion, an insertion.  That choice looks only at
 the three neighbours of a cell, so the counts can be carried forward with the distances and no
 matrix is kept.  Built-in array functions could carry them too, but they copy the row array
-once per cell; an Arrow UDF that advances many pairs at once needs one numpy step per
-reference word.
+once per cell.  An Arrow UDF advances many pairs at once, one numpy step per anti-diagonal,
+whose cells do not depend on each other.
 """
 
 from __future__ import annotations
@@ -14,108 +14,113 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxledger.functions.distance import encode_pair
+from voxledger.functions.text import _col
 
-_CELLS = 1 << 18  # padded cells that one numpy step works on
+_CELLS = 1 << 17  # padded cells that one numpy step works on
 
+# A cell is one integer: cost, then the rank of the step taken, then the two counts.  Fields of
+# 20 bits hold pairs of up to a million words; longer ones use Python integers with wider fields.
+_NARROW, _WIDE = 20, 60
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), dtype=np.int32)
 
-
-def _padded(rows: list[np.ndarray], width: int, fill: int) -> np.ndarray:
-    out = np.full((len(rows), width), fill, dtype=np.int32)
-    for i, row in enumerate(rows):
-        out[i, : len(row)] = row
+def _padded(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, fill: int) -> np.ndarray:
+    """Word codes as [place, pair], padded at the end."""
+    place = np.arange(int(lengths.max()))[:, None]
+    inside = place < lengths[None, :]
+    out = np.full(inside.shape, fill, dtype=np.int32)
+    out[inside] = codes[(starts[None, :] + place)[inside]]
     return out
 
 
-def _shift(a: np.ndarray) -> np.ndarray:
-    return a[:, :-1]
-
-
-def align_counts(refs: list[np.ndarray], hyps: list[np.ndarray]) -> np.ndarray:
-    """Rows of (substitutions, deletions, insertions) for pairs of code arrays."""
-    n = np.array([len(r) for r in refs], dtype=np.int32)
-    m = np.array([len(h) for h in hyps], dtype=np.int32)
-    ref, hyp = _padded(refs, int(n.max()), -1), _padded(hyps, int(m.max()), -2)
-    columns = np.arange(hyp.shape[1] + 1, dtype=np.int32)
-    rows = np.arange(len(refs))
-
-    cost = np.tile(columns, (len(refs), 1))
-    subs, dels = np.zeros_like(cost), np.zeros_like(cost)
-    out = np.zeros((len(refs), 3), dtype=np.int64)
-
-    def record(done: np.ndarray) -> None:
-        picked = rows[done]
-        at = m[done]
-        s, d = subs[picked, at], dels[picked, at]
-        out[picked] = np.stack([s, d, cost[picked, at] - s - d], axis=1)
-
-    record(n == 0)
-    for i in range(1, ref.shape[1] + 1):
-        same = hyp == ref[:, i - 1 : i]
-        above = cost
-        best = above + 1
-        np.minimum(best[:, 1:], _shift(above) + ~same, out=best[:, 1:])
-        best[:, 0] = i
-        cost = np.minimum.accumulate(best - columns, axis=1) + columns
-
-        here = cost[:, 1:]
-        match = same & (here == _shift(above))
-        diagonal = match | (here == _shift(above) + 1)
-        inner = diagonal | (here == above[:, 1:] + 1)
-        next_subs, next_dels = subs.copy(), dels + 1
-        next_subs[:, 1:] = np.where(diagonal, _shift(subs) + ~match, subs[:, 1:])
-        next_dels[:, 1:] = np.where(diagonal, _shift(dels), next_dels[:, 1:])
-        # An insertion takes over the counts of the cell to its left, and so of the nearest
-        # cell on the left that is not an insertion itself.
-        source = np.zeros_like(cost)
-        source[:, 1:] = np.where(inner, columns[1:], 0)
-        np.maximum.accumulate(source, axis=1, out=source)
-        subs = np.take_along_axis(next_subs, source, axis=1)
-        dels = np.take_along_axis(next_dels, source, axis=1)
-        record(n == i)
-    return out
+def align_counts(ref: np.ndarray, n: np.ndarray, hyp: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Rows of (substitutions, deletions, insertions).
+
+    ``ref`` and ``hyp`` are padded codes [place, pair]; ``n`` and ``m`` are the true lengths.
+    """
+    narrow = int((n + m).max()) < 1 << _NARROW
+    bits, dtype = (_NARROW, np.int64) if narrow else (_WIDE, object)
+    deletion, substitution, rank, unit = 1, 1 << bits, 1 << 2 * bits, 4 << 2 * bits
+    field, unreached = substitution - 1, ((1 << bits) - 1) * unit
+    rows, cols = ref.shape[0], hyp.shape[0]
+    backwards = hyp[::-1]
+    total = n + m
+    out = np.zeros(len(n), dtype=dtype)
+    before, last = None, np.zeros((1, len(n)), dtype=dtype)
+    # Diagonal s holds the cells (i, s - i); ``low`` is the smallest i on it.
+    low_before = low_last = 0
+    for s in range(1, rows + cols + 1):
+        low, high = max(0, s - cols), min(rows, s)
+        cell = np.full((high - low + 1, len(n)), unreached, dtype=dtype)
+
+        left = slice(low, min(high, s - 1) + 1)  # from (i, j - 1): an insertion
+        if left.stop > left.start:
+            cell[: left.stop - low] = last[left.start - low_last : left.stop - low_last] + (unit + 2 * rank)
+        first = max(low, 1)  # from (i - 1, j): a deletion
+        if high >= first:
+            deleted = last[first - 1 - low_last : high - low_last] + (unit + rank + deletion)
+            np.minimum(cell[first - low :], deleted, out=cell[first - low :])
+        end = min(high, s - 1)  # from (i - 1, j - 1): a match or a substitution
+        if end >= first:
+            differ = ref[first - 1 : end] != backwards[cols - s + first : cols - s + end + 1]
+            kept = before[first - 1 - low_before : end - low_before] + differ.astype(dtype) * (unit + substitution)
+            inner = cell[first - low : end - low + 1]
+            np.minimum(inner, kept, out=inner)
+        cell &= ~(3 * rank)
+
+        done = np.flatnonzero(total == s)
+        if len(done):
+            out[done] = cell[n[done] - low, done]
+        before, last, low_before, low_last = last, cell, low_last, low
+    subs, dels = (out // substitution) & field, out & field
+    return np.stack([subs, dels, out // unit - subs - dels], axis=1).astype(np.int64)
 
 
 def _groups(n: np.ndarray, m: np.ndarray) -> Iterator[np.ndarray]:
-    """Index groups of pairs of similar size, bounded in padded cells."""
-    order = np.lexsort((n, m))
+    """Index groups of pairs of similar size, bounded in padded cells of one diagonal."""
+    size = n + m
+    order = np.argsort(size, kind="stable")
     start = 0
-    for end in range(1, len(order) + 1):
-        if end == len(order) or (end + 1 - start) * (int(m[order[end]]) + 1) > _CELLS or (
-            m[order[end]] > 2 * m[order[start]] + 8
-        ):
-            yield order[start:end]
-            start = end
+    while start < len(order):
+        similar = np.searchsorted(size[order], size[order[start]] * 1.25 + 4, side="right")
+        end = min(int(similar), start + max(1, _CELLS // int(size[order[start]] + 1)))
+        yield order[start:end]
+        start = end
+
+
+def align_texts(refs: list[str], hyps: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and reference lengths of text pairs, words split at white space."""
+    words = [t.split() for t in refs] + [t.split() for t in hyps]
+    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    codes = pa.array([w for text in words for w in text], pa.string()).dictionary_encode().indices.to_numpy()
+    starts = np.cumsum(lengths) - lengths
+    k = len(refs)
+    n, m = lengths[:k], lengths[k:]
+    counts = np.zeros((k, 3), dtype=np.int64)
+    for g in _groups(n, m):
+        ref = _padded(codes, starts[:k][g], n[g], -1)
+        hyp = _padded(codes, starts[k:][g], m[g], -2)
+        counts[g] = align_counts(ref, n[g], hyp, m[g])
+    return counts, n
+
+
+_COUNTS = ("subs", "dels", "ins", "ref_words")
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("subs", "dels", "ins")]))
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in _COUNTS]))
 def _align(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     known = np.flatnonzero((ref.notna() & hyp.notna()).to_numpy())
-    refs = [_codes(ref.iat[i]) for i in known]
-    hyps = [_codes(hyp.iat[i]) for i in known]
-    counts = np.zeros((len(known), 3), dtype=np.int64)
-    if len(known):
-        n, m = np.array([len(r) for r in refs]), np.array([len(h) for h in hyps])
-        for group in _groups(n, m):
-            counts[group] = align_counts([refs[i] for i in group], [hyps[i] for i in group])
-    out = pd.DataFrame(counts, columns=["subs", "dels", "ins"], index=known)
+    counts, words = align_texts(ref.iloc[known].tolist(), hyp.iloc[known].tolist())
+    out = pd.DataFrame(np.column_stack([counts, words]), columns=list(_COUNTS), index=known)
     return out.reindex(range(len(ref))).astype("Int64")
 
 
 def add_alignment_counts(df: DataFrame, ref: Column | str, hyp: Column | str) -> DataFrame:
     """Add ``subs``, ``dels``, ``ins`` and ``ref_words`` of each text pair (null for null text)."""
-    kept = [c for c in df.columns if c not in ("subs", "dels", "ins", "ref_words")]
-    staged = encode_pair(df, ref, hyp).withColumn("_ops", _align("_ref_c", "_hyp_c"))
-    known = F.col("_ref_c").isNotNull() & F.col("_hyp_c").isNotNull()
-    return staged.select(
-        *kept,
-        *[F.when(known, F.col(f"_ops.{c}")).alias(c) for c in ("subs", "dels", "ins")],
-        F.size("_ref_w").cast("bigint").alias("ref_words"),
-    )
+    kept = [c for c in df.columns if c not in _COUNTS]
+    scored = df.withColumn("_ops", _align(_col(ref), _col(hyp)))
+    return scored.select(*kept, *[F.col(f"_ops.{c}").alias(c) for c in _COUNTS])

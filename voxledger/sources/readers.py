@@ -34,23 +34,25 @@ def read_tagged(spark: SparkSession, glob: str, schema: T.StructType) -> DataFra
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, *, skip_long_rows: bool = False) -> DataFrame:
     """CSV with a header.  Short rows are filled with nulls; long rows are dropped on request.
 
-    Everything is read as text with one column more than the schema.  A row that fills the
-    extra column, even with an empty field, has too many fields.
+    Everything is read as text with one column more than the schema.  A row with exactly one
+    field too many fits and is not marked; rows of any other size are marked as corrupt, and of
+    those the long ones have text in the extra column.
     """
+    names = [f.name for f in schema]
     extra = "_extra"
-    wide = T.StructType([T.StructField(f.name, T.StringType()) for f in schema] + [T.StructField(extra, T.StringType())])
+    wide = T.StructType([T.StructField(c, T.StringType()) for c in (*names, extra, CORRUPT)])
     raw = (
         spark.read.schema(wide)
         .option("header", True)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("nullValue", "\u0000")
         .option("emptyValue", "")
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
     if skip_long_rows:
-        raw = raw.filter(F.col(extra).isNull())
+        raw = raw.filter(F.col(CORRUPT).isNotNull() & F.col(extra).isNull())
     filled = {f.name: F.nullif(F.col(f.name), F.lit("")) for f in schema}
     return raw.select(*[filled[f.name].try_cast(f.dataType).alias(f.name) for f in schema])
 
