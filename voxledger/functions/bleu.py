@@ -17,6 +17,7 @@ from voxledger.functions.text import _col, tokenize
 ORDERS = (1, 2, 3, 4)
 
 # The public 13a tokeniser, as (pattern, replacement) in order of application.
+# Its symbol class also has the space; spaces only separate tokens, so it is left out here.
 TOKENIZER_13A = (
     ("<skipped>", ""),
     ("-\n", ""),
@@ -27,7 +28,7 @@ TOKENIZER_13A = (
     ("&gt;", ">"),
     ("^", " "),
     ("$", " "),
-    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([!-&(-+:-@/\[-`{-~])", " $1 "),
     (r"([^0-9])([\.,])", "$1 $2 "),
     (r"([\.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxledger.functions.text import iso1, truncate_tokens
 from voxledger.operators.languages import code_map, literal_map
+from voxledger.operators.lookup import skew_ready
 
 IGNORE_INDEX = -100
 
@@ -54,15 +55,15 @@ def label_batch(
 ) -> DataFrame:
     """Truncate, pad to the longest of the batch with -100, drop a start token all rows share.
 
-    The batch's length and start flag come from a partial aggregate joined back, so a batch of
-    any size is spread over tasks.
+    The batch's length and start flag come from a partial aggregate joined back, and adaptive
+    execution splits a hot batch in that join, so a batch of any size is spread over tasks.
     """
     cut = df.withColumn("_ids", truncate_tokens(ids, max_length) if max_length else F.col(ids))
     stats = cut.groupBy(F.col(batch_id).alias("_batch")).agg(
         F.max(F.size("_ids")).alias("_longest"),
         F.bool_and(F.coalesce(F.get("_ids", F.lit(0)) == start_id, F.lit(False))).alias("_started"),
     )
-    joined = cut.join(stats, cut[batch_id].eqNullSafe(stats["_batch"]))
+    joined = cut.join(skew_ready(stats, "_batch"), F.col(batch_id).eqNullSafe(F.col("_batch")))
     padding = F.array_repeat(F.lit(IGNORE_INDEX).cast("int"), F.col("_longest") - F.size("_ids"))
     padded = F.concat("_ids", padding)
     labels = F.when(F.col("_started"), F.slice(padded, F.lit(2), F.col("_longest"))).otherwise(padded)

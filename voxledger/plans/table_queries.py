@@ -227,14 +227,17 @@ def mask_swap(spark, d):
 
 # ---------------------------------------------------------------- roll-ups
 
-# Embeddings stand for decoded audio at 16 samples a second; some do not decode.
-_AUDIO_SQL = """SELECT vec_id, label, CASE WHEN vec_id % 13 = 0 THEN NULL ELSE embedding[1:(16 + vec_id % 48)] END AS arr FROM embeddings"""
+# Embeddings stand for decoded audio at 16 to 64 samples a second; some do not decode.
+_AUDIO_SQL = """SELECT vec_id, label, CASE WHEN vec_id % 13 = 0 THEN NULL ELSE len(embedding) / (16.0::DOUBLE * (1 + vec_id % 4)) END AS s
+    FROM embeddings"""
 
 
 def _audio(spark, d):
-    clip = F.slice("embedding", F.lit(1), (F.col("vec_id") % 48 + 16).cast("int"))
     return table(spark, d, "embeddings").select(
-        "vec_id", "label", F.when(F.col("vec_id") % 13 != 0, clip).alias("arr"), F.lit(16).alias("rate")
+        "vec_id",
+        "label",
+        F.when(F.col("vec_id") % 13 != 0, F.col("embedding")).alias("arr"),
+        (F.col("vec_id") % 4 * 16 + 16).cast("int").alias("rate"),
     )
 
 
@@ -242,7 +245,7 @@ def _audio(spark, d):
     "audio_hours",
     f"""SELECT label, count(*) AS n_total, count(s) AS n_decoded, round(sum(s), 6) AS total_seconds, round(sum(s) / 60, 6) AS total_minutes,
       round(sum(s) / 3600, 6) AS total_hours, round(avg(s), 6) AS avg_seconds, min(s) AS min_seconds, max(s) AS max_seconds
-    FROM (SELECT label, len(arr) / 16.0::DOUBLE AS s FROM ({_AUDIO_SQL})) GROUP BY ALL""",
+    FROM ({_AUDIO_SQL}) GROUP BY ALL""",
 )
 def audio_hours(spark, d):
     out = rollup.audio_hours(_audio(spark, d), "arr", "rate", "label")
@@ -252,7 +255,7 @@ def audio_hours(spark, d):
 @query(
     "running_hours",
     f"""SELECT n_processed, round(hours, 9) AS hours FROM (
-      SELECT row_number() OVER (ORDER BY vec_id) AS n_processed, sum(len(arr) / 16.0::DOUBLE) OVER (ORDER BY vec_id) / 3600 AS hours
+      SELECT row_number() OVER (ORDER BY vec_id) AS n_processed, sum(s) OVER (ORDER BY vec_id) / 3600 AS hours
       FROM ({_AUDIO_SQL})) WHERE n_processed % 100 = 0""",
 )
 def running_hours(spark, d):
