@@ -13,6 +13,7 @@ from voxledger.plans.workload import (
     MODEL_LANGUAGE,
     PAIRS_SQL,
     SYSTEMS,
+    alignment_sql,
     bleu_score_sql,
     bleu_sql,
     detokenize_sql,
@@ -111,13 +112,23 @@ def region_rollup(spark, d):
     return rollup.region_rollup(scored, "base_wer").withColumn("mean_wer", F.round("mean_wer", 6))
 
 
-@query("sdi_row")
+@query(
+    "sdi_row",
+    f"{PAIRS_SQL}, {_src('gold_transcript', 'sys_plus')}, {alignment_sql('src', 'ref', 'hyp')} SELECT pos, subs, dels, ins, ref_words FROM aligned",
+)
 def sdi_row(spark, d):
     df = pairs(spark, d).select("pos", GOLD, "sys_plus")
     return add_alignment_counts(df, GOLD, "sys_plus").select("pos", "subs", "dels", "ins", "ref_words")
 
 
-@query("sdi_corpus")
+@query(
+    "sdi_corpus",
+    f"""{PAIRS_SQL}, {LONG_SQL}, src AS (SELECT * FROM sys_long WHERE hyp IS NOT NULL), {alignment_sql('src', 'ref', 'hyp')}
+    SELECT language, system, subs, dels, ins, ref_words, round(subs / ref_words, 3) AS sub_rate, round(dels / ref_words, 3) AS del_rate,
+      round(ins / ref_words, 3) AS ins_rate, round((subs + dels + ins) / ref_words, 3) AS wer FROM (
+      SELECT language, system, CAST(sum(subs) AS BIGINT) AS subs, CAST(sum(dels) AS BIGINT) AS dels,
+        CAST(sum(ins) AS BIGINT) AS ins, CAST(sum(ref_words) AS BIGINT) AS ref_words FROM aligned GROUP BY ALL)""",
+)
 def sdi_corpus(spark, d):
     long = systems_long(pairs(spark, d), "language")
     return scoring.alignment_rates(long, "ref", "hyp", "language", "system")

@@ -141,6 +141,29 @@ def edits_sql(source: str, ref: str, hyp: str, name: str = "scored") -> str:
       SELECT *, {words_sql(ref)} AS r, {words_sql(hyp)} AS h FROM {source})))"""
 
 
+# Alignment counts of word lists r and h, one anti-diagonal per step.  A cell holds the cost from
+# bit 42, the rank of the step (match or substitution, deletion, insertion) in two bits, then
+# substitutions from bit 20, then deletions; the rank is cleared once the cell is chosen.
+_FAR = "2305843009213693952::BIGINT"
+_ALIGN = f"""list_reduce(range(1, len(r) + len(h) + 1), lambda a, s: [a[2], list_transform(range(0, len(r) + 1), lambda i:
+    CASE WHEN s < i OR s - i > len(h) THEN {_FAR} ELSE least(
+      CASE WHEN s > i THEN a[2][i + 1] + {(1 << 42) + (2 << 40)} ELSE {_FAR} END,
+      CASE WHEN i > 0 THEN a[2][i] + {(1 << 42) + (1 << 40) + 1} ELSE {_FAR} END,
+      CASE WHEN i > 0 AND s > i THEN a[1][i] + (CASE WHEN r[i] = h[s - i] THEN 0 ELSE {(1 << 42) + (1 << 20)} END)
+        ELSE {_FAR} END) & {~(3 << 40)} END)],
+  [list_transform(range(0, len(r) + 1), lambda i: {_FAR}),
+   list_transform(range(0, len(r) + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE {_FAR} END)])[2][len(r) + 1]"""
+
+
+def alignment_sql(source: str, ref: str, hyp: str, name: str = "aligned") -> str:
+    """CTE with the columns of ``source`` plus subs, dels, ins and ref_words."""
+    return f"""{name} AS (
+  SELECT * EXCLUDE (r, h, x), (x >> 20) & 1048575 AS subs, x & 1048575 AS dels,
+    (x >> 42) - ((x >> 20) & 1048575) - (x & 1048575) AS ins, CAST(len(r) AS BIGINT) AS ref_words FROM (
+    SELECT *, CASE WHEN r = h THEN 0 ELSE {_ALIGN} END AS x FROM (
+      SELECT *, {words_sql(ref)} AS r, {words_sql(hyp)} AS h FROM {source})))"""
+
+
 # The 13a scheme in RE2 syntax.
 def tokens_13a_sql(text: str) -> str:
     t = f"replace(replace(replace({text}, '<skipped>', ''), E'-\\n', ''), E'\\n', ' ')"
