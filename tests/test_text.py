@@ -59,6 +59,14 @@ def test_normalising_twice_changes_words_no_more(spark, normalize):
     assert once == column(spark, text.tokenize(normalize(normalize("t"))))
 
 
+def test_cleaned_text_has_the_words_of_normalised_text(spark):
+    for clean, normalize in (
+        (text.clean_for_wer, text.normalize_for_wer),
+        (text.clean_unicode_punct, text.normalize_unicode_punct),
+    ):
+        assert column(spark, text.tokenize(clean("t"))) == column(spark, text.tokenize(normalize("t")))
+
+
 def test_detokenize(spark):
     cases = ["a , b .", "a . . b", 'he said " yes " !', "no change", "x .y"]
     expected = ["a, b.", "a. . b", 'he said" yes" !', "no change", "x .y"]

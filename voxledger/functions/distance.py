@@ -98,22 +98,30 @@ def add_word_edits(
     *,
     edits: str = "edits",
     ref_words: str = "ref_words",
+    ref_tokens: str | None = None,
 ) -> DataFrame:
     """Add the word edit distance of a text pair and the reference word count.
 
+    ``ref_tokens`` names a column that already holds the reference words.
+
     Word arrays, vocabulary and codes are separate columns so that each is computed once a row.
     """
     kept = [c for c in df.columns if c not in (edits, ref_words)]
     staged = df.withColumns({"_ref_t": _col(ref), "_hyp_t": _col(hyp)})
-    staged = staged.withColumns({"_ref_w": tokenize("_ref_t"), "_hyp_w": tokenize("_hyp_t")})
+    known = F.col(ref_tokens) if ref_tokens else tokenize("_ref_t")
+    staged = staged.withColumns({"_ref_w": known, "_hyp_w": tokenize("_hyp_t")})
     cells = F.size("_ref_w").cast("bigint") * F.size("_hyp_w")
-    staged = staged.withColumn("_long", cells > LONG_PAIR)
-    staged = staged.withColumn("_vocab", F.when(~F.col("_long"), F.array_union("_ref_w", "_hyp_w")))
+    same = F.col("_ref_w") == F.col("_hyp_w")
+    staged = staged.withColumns({"_same": same, "_long": ~same & (cells > LONG_PAIR)})
+    coded = ~F.col("_same") & ~F.col("_long")
+    staged = staged.withColumn("_vocab", F.when(coded, F.array_union("_ref_w", "_hyp_w")))
     staged = staged.withColumns(
         {"_ref_c": encode_words("_ref_w", "_vocab"), "_hyp_c": encode_words("_hyp_w", "_vocab")}
     )
-    distance = F.when(F.col("_long"), _long_word_distance(*_only("_long", "_ref_t", "_hyp_t"))).otherwise(
-        F.levenshtein("_ref_c", "_hyp_c").cast("bigint")
+    distance = (
+        F.when(F.col("_same"), F.lit(0).cast("bigint"))
+        .when(F.col("_long"), _long_word_distance(*_only("_long", "_ref_t", "_hyp_t")))
+        .otherwise(F.levenshtein("_ref_c", "_hyp_c").cast("bigint"))
     )
     return staged.select(*kept, distance.alias(edits), F.size("_ref_w").cast("bigint").alias(ref_words))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxledger.functions.distance import add_word_edits, error_rate
+from voxledger.functions.text import tokenize
 
 
 def gather_systems(
@@ -78,9 +79,10 @@ def compare_wide(
     ``first_spec`` carry the ordering for :func:`top_records`.
     """
     kept = df.columns
-    scored = add_word_edits(df, gold, baseline, edits="_eb", ref_words="_n")
+    scored = df.withColumn("_gold_w", tokenize(gold))
+    scored = add_word_edits(scored, gold, baseline, edits="_eb", ref_words="_n", ref_tokens="_gold_w")
     for i, name in enumerate(systems):
-        scored = add_word_edits(scored, gold, name, edits=f"_e{i}", ref_words="_m")
+        scored = add_word_edits(scored, gold, name, edits=f"_e{i}", ref_words="_m", ref_tokens="_gold_w")
     scored = scored.withColumn("_wb", error_rate("_eb", "_n"))
 
     def entry(i: int, name: str) -> Column:

@@ -28,7 +28,7 @@ def row_wer(df: DataFrame, ref: str, hyp: str, *, out: str = "wer") -> DataFrame
 
 def row_base_wer(df: DataFrame, ref: str, hyp: str, *, out: str = "base_wer") -> DataFrame:
     """Word error rate of each row on scoring-cleaned text."""
-    scored = add_word_edits(df, text.normalize_for_wer(ref), text.normalize_for_wer(hyp), edits="_e", ref_words="_n")
+    scored = add_word_edits(df, text.clean_for_wer(ref), text.clean_for_wer(hyp), edits="_e", ref_words="_n")
     return scored.withColumn(out, error_rate("_e", "_n")).drop("_e", "_n")
 
 
@@ -48,7 +48,7 @@ def wer_micro(df: DataFrame, ref: str, hyp: str, *group: str) -> DataFrame:
 def wer_macro(df: DataFrame, ref: str, hyp: str, *group: str) -> DataFrame:
     """Mean of row rates on Unicode-cleaned text; null without any pair."""
     present = df.filter(F.col(ref).isNotNull() & F.col(hyp).isNotNull())
-    scored = add_word_edits(present, text.normalize_unicode_punct(ref), text.normalize_unicode_punct(hyp))
+    scored = add_word_edits(present, text.clean_unicode_punct(ref), text.clean_unicode_punct(hyp))
     return _grouped(
         scored.withColumn("_wer", error_rate("edits", "ref_words")),
         group,
@@ -59,7 +59,7 @@ def wer_macro(df: DataFrame, ref: str, hyp: str, *group: str) -> DataFrame:
 
 def wer_normalized(df: DataFrame, ref: str, hyp: str, *group: str) -> DataFrame:
     """Pooled rate and mean of row rates on scoring-cleaned text.  No rows at all is an error."""
-    scored = add_word_edits(df, text.normalize_for_wer(ref), text.normalize_for_wer(hyp))
+    scored = add_word_edits(df, text.clean_for_wer(ref), text.clean_for_wer(hyp))
     pooled = _grouped(
         scored.withColumn("_wer", error_rate("edits", "ref_words")),
         group,
@@ -142,7 +142,7 @@ def unsmoothed_bleu(df: DataFrame, ref: str, hyp: str, *group: str) -> DataFrame
 def language_summary(df: DataFrame, ref: str, hyp: str, *group: str, digits: int = 4) -> DataFrame:
     """BLEU of stripped texts and mean normalised word error rate, from one pass over the rows."""
     present = df.filter(F.col(ref).isNotNull() & F.col(hyp).isNotNull())
-    edits = add_word_edits(present, text.normalize_for_wer(ref), text.normalize_for_wer(hyp))
+    edits = add_word_edits(present, text.clean_for_wer(ref), text.clean_for_wer(hyp))
     counted = bleu.add_bleu_counts(
         edits.withColumn("_wer", error_rate("edits", "ref_words")), text.strip_ws(ref), text.strip_ws(hyp)
     )
@@ -165,7 +165,7 @@ def evaluation_record(
     df: DataFrame, ref: str, hyp: str, ids: str, *group: str, pad: int = 0, digits: int = 4
 ) -> DataFrame:
     """BLEU, mean word error rate and mean generated length in one aggregate."""
-    edits = add_word_edits(df, text.normalize_for_wer(ref), text.normalize_for_wer(hyp))
+    edits = add_word_edits(df, text.clean_for_wer(ref), text.clean_for_wer(hyp))
     staged = edits.withColumns(
         {
             "_wer": error_rate("edits", "ref_words"),
