@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from voxledger.operators import nested
 from voxledger.plans.registry import query
-from voxledger.plans.workload import ISO3, PAIRS_SQL, pairs, strip_sql, table, utterances, words_sql
+from voxledger.plans.workload import ISO3, PAIRS_SQL, pairs, strip_sql, table, words_sql
 from voxledger.functions import text
 from voxledger.session import scratch_path
 from voxledger.sources import readers, writers

@@ -8,7 +8,7 @@ from voxledger.functions import text
 from voxledger.operators import inference, lookup, mixing, nested, rollup
 from voxledger.operators.ordering import with_ordinal
 from voxledger.plans.registry import query
-from voxledger.plans.workload import ISO3, PAIRS_SQL, SYSTEMS, UTTERANCES_SQL, pairs, strip_sql, table, utterances
+from voxledger.plans.workload import ISO3, PAIRS_SQL, UTTERANCES_SQL, pairs, strip_sql, table, utterances
 from voxledger.sources.readers import normalize_corpus
 
 # ---------------------------------------------------------------- lookups
