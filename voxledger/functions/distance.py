@@ -7,7 +7,7 @@ rows.
 
 ``levenshtein`` costs length x length.  A corpus with one passage of 100,000 characters would
 keep one task busy for minutes, so pairs over ``LONG_PAIR`` cells go to a bit-parallel Arrow
-UDF instead (about 64 cells per machine word).  Short pairs reach that UDF as nulls.
+UDF instead (one bit per cell).  Short pairs reach that UDF as nulls.
 """
 
 from __future__ import annotations
