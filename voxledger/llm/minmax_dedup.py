@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxledger.llm.bitset import bit_set, passes
 from voxledger.llm.bytetext import mix, slices, windows, words
 from voxledger.llm.components import components
 from voxledger.llm.tables import stored
@@ -103,17 +104,24 @@ def signatures(docs: DataFrame, p: Parameters) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(run, "doc long, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, p: Parameters) -> DataFrame:
-    """(doc, items): the full set of distinct shingle hashes, for the exact comparisons."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int, p: Parameters) -> DataFrame:
+    """(doc, items): full sets of distinct shingle hashes of the ``n`` or fewer documents ``wanted``.
+
+    A bit set tells the tasks which texts to look at, so no text is shuffled; a few others pass.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bit_set(wanted.select(F.xxhash64("doc").alias("h")), n, 64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            near = passes(bits.value, batch.column("h").to_numpy().view(np.uint64)) & batch.column("doc").is_valid().to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(near))
             for at, texts in slices(batch.column("text")):
                 value, bounds = _unique_shingles(texts, p.width)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value.view(np.int64)))
                 yield pa.record_batch([batch.column("doc").slice(at, len(texts)), lists], names=["doc", "items"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(run, "doc long, items array<long>")
+    doc = F.col("doc_id").cast("long")
+    return docs.select(doc.alias("doc"), F.xxhash64(doc).alias("h"), "text").mapInArrow(run, "doc long, items array<long>")
 
 
 def _block_links(p: Parameters):
@@ -150,10 +158,22 @@ def _block_links(p: Parameters):
     return run
 
 
-def _stray_links(sets: DataFrame, classes: DataFrame, clusters: DataFrame, p: Parameters) -> DataFrame:
+def _near_classes(links: DataFrame) -> DataFrame:
+    """(doc, class): each document's smallest linked partner, followed twice.
+
+    Members of one class are connected; one component may still have several classes, which costs
+    comparisons but no links.
+    """
+    up = links.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("class"))
+    for _ in range(2):
+        next_up = up.select(F.col("doc").alias("class"), F.col("class").alias("further"))
+        up = up.join(next_up, "class", "left").select("doc", F.coalesce("further", "class").alias("class"))
+    return up
+
+
+def _stray_links(sets: DataFrame, links: DataFrame, clusters: DataFrame, p: Parameters) -> DataFrame:
     """Links between different classes of one cluster: members outside its largest class against all its members."""
-    both = clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
-    both = both.join(classes.select(F.col("node").alias("doc"), F.col("component").alias("class")), "doc", "left")
+    both = clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")).join(_near_classes(links), "doc", "left")
     both = stored(both.withColumn("class", F.coalesce("class", "doc")), "clusters")
     per_class = both.groupBy("cluster", "class").agg(F.count(F.lit(1)).alias("n"))
     shape = per_class.groupBy("cluster").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
@@ -187,22 +207,19 @@ def near_classes(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     banded = own.select("doc", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a < z").select("key", "a")
     star = stored(banded.join(buckets, "key").filter("doc <> a").select("a", F.col("doc").alias("b")).distinct(), "star")
-    ends = star.select(F.col("a").alias("id")).union(star.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(ends, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = stored(shingle_sets(texts, p), "sets")
+    ends = star.select(F.col("a").alias("doc")).union(star.select("b"))
+    sets = stored(shingle_sets(docs, ends, 2 * star.count(), p), "sets")
     left, right = (sets.select(F.col("doc").alias(k), F.col("items").alias(f"s{k}")) for k in "ab")
     shared = F.array_size(F.array_intersect("sa", "sb"))
     compared = star.join(left, "a").join(right, "b").select("a", "b", (100 * shared / (F.array_size("sa") + F.array_size("sb") - shared)).alias("x"), (100 * shared).alias("i"), (F.array_size("sa") + F.array_size("sb") - shared).alias("u"))
     compared = stored(compared.select("a", "b", (F.col("i") >= p.percent * F.col("u")).alias("linked"), (F.col("i") >= p.loose_percent * F.col("u")).alias("loose")), "compared")
     links = compared.filter("linked").select("a", "b")
     loose = compared.filter("loose").select("a", "b")
-    classes = components(links)
-    found = stored(_stray_links(sets, classes, components(loose), p), "strays")
-    # Links between rows of one id with different texts, and between documents of different rows of one id.
-    repeated = apart.filter("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")) if _has_repeats(apart) else None
-    if not found.isEmpty() or repeated is not None:
-        more = links.union(found)
-        classes = components(more if repeated is None else more.union(repeated))
+    found = _stray_links(sets, links, components(loose), p)
+    # Rows of one id with different texts belong together.
+    several = apart.groupBy("doc").agg(F.min("first").alias("a"), F.max("first").alias("z")).filter("a < z").select("doc", "a")
+    through_id = apart.join(several, "doc").select("a", F.col("first").alias("b"))
+    classes = components(links.union(found).union(through_id))
     final = classes.select(F.col("node").alias("first"), "component")
     member = apart.join(final, "first", "left").groupBy("doc").agg(F.min(F.coalesce("component", "first")).alias("component"))
     sized = signed.select(F.col("doc").alias("doc_id"), "n_shingles")
@@ -211,11 +228,6 @@ def near_classes(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _has_repeats(apart: DataFrame) -> bool:
-    """Whether one id has rows with different sets; then its sets are linked through the id."""
-    return not apart.groupBy("doc").agg(F.min("first").alias("x"), F.max("first").alias("y")).filter("x < y").isEmpty()
-
-
 def drop_near_copies(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """The documents without those that another document of their class stands for; columns stay as they are."""
     gone = near_classes(docs, p).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()

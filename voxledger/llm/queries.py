@@ -1,3 +1,3 @@
 """Importing this module registers the queries of the subpackage."""
 
-from voxledger.llm import queries_dedup  # noqa: F401
+from voxledger.llm import queries_dedup, queries_models, queries_text  # noqa: F401
