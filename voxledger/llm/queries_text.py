@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from voxledger.llm import piece_transducer, template_decontam
+from voxledger.llm import count_viterbi, elias_fano_ids, piece_transducer, template_decontam
 from voxledger.llm.tables import table
 from voxledger.plans.registry import query
 
@@ -23,3 +22,17 @@ def op9_piece_transducer(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of ids and decoded texts; ``round_trip`` tells whether decoding gives the text back."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return piece_transducer.digests(docs, PIECE_MODEL)
+
+
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_elias_fano_ids")
+def op3_elias_fano_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return elias_fano_ids.encode_and_read(table(spark, folder, "documents").select("doc_id", "text"), WORD_TOKENIZER, end_id=2)
+
+
+@query("op10_count_viterbi")
+def op10_count_viterbi(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts with the pieces and scores of the model file as a unigram vocabulary."""
+    return count_viterbi.token_counts(table(spark, folder, "documents"), count_viterbi.vocabulary(PIECE_MODEL))

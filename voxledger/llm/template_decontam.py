@@ -15,7 +15,8 @@ split when one passage stands in very many documents.
 
 Rules: a token is a run outside ``[\\x20\\x09-\\x0D]`` without ASCII punctuation at its ends; empty
 ones vanish. A first character 0-9 makes a number (only ``0-9.,:/-``) or a quantity (others); a known
-unit after a number is a unit; a first character A-Z, À-Ö or Ø-Þ makes a name. Windows need
+unit after a number is a unit; a capital (A-Z, À-Ö, Ø-Þ) before a small letter makes a name, unless it
+begins a sentence or line. All else is compared in lower case, so shouted passages match. Windows need
 ``literals`` words that are no placeholders. Items shorter than a window are one window, with at
 least ``short_literals``. Items without any such window, null and empty texts match nothing.
 """
@@ -82,13 +83,26 @@ def templates(column: pa.Array) -> Template:
     first = np.searchsorted(text, np.arange(len(column) + 1))
     if not len(start):
         return Template(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), first)
-    lead, second = w.data[start], w.data[np.minimum(start + 1, n - 1)]
-    low = np.where((w.data >= 65) & (w.data <= 90), w.data | 32, w.data)
+    # Capitals: one byte, or the second byte after 0xC3.
+    wide = np.zeros(n, bool)
+    wide[1:] = w.data[:-1] == 0xC3
+    capital = (w.data >= 65) & (w.data <= 90) | wide & (w.data >= 0x80) & (w.data <= 0x9E) & (w.data != 0x97)
+    low = np.where(capital, w.data | 32, w.data)
+    small = (low >= 97) & (low <= 122) & ~capital | wide & (low >= 0xA0) & ~capital
     value = span_hash(low, start, end)
+    lead = w.data[start]
+    head = np.minimum(start + (lead == 0xC3), n - 1)  # the byte that tells a first letter's case
+    second = np.minimum(head + 1, n - 1)
+    second = np.minimum(second + (w.data[second] == 0xC3), n - 1)
+    stops = np.isin(w.data, np.frombuffer(b".!?:;", np.uint8))
+    line = np.concatenate([[0], np.cumsum(w.data == 10)])
+    raw_start, raw_end = w.start[real], w.end[real]
+    begins = np.ones(len(start), bool)
+    begins[1:] = (text[1:] != text[:-1]) | stops[raw_end[:-1] - 1] | (line[raw_start[1:]] > line[raw_end[:-1]])
     numeric = np.concatenate([[0], np.cumsum(_NUMERIC[w.data])])
     digit = (lead >= 48) & (lead <= 57)
     number = digit & (numeric[end] - numeric[start] == end - start)
-    name = (lead >= 65) & (lead <= 90) | (lead == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
+    name = capital[head] & small[second] & (second < end) & ~begins
     units = np.array(UNITS, dtype=object)
     unit_data = np.frombuffer("".join(units).encode(), np.uint8)
     unit_end = np.cumsum([len(u) for u in units])
