@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxledger.llm import mcd_outliers
+from voxledger.llm import forest_secrets, mcd_outliers
 from voxledger.llm.tables import table
 from voxledger.plans.registry import query
 
@@ -12,3 +12,8 @@ from voxledger.plans.registry import query
 @query("op5_mcd_outliers")
 def op5_mcd_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return mcd_outliers.verdicts(table(spark, folder, "documents"))
+
+
+@query("op6_forest_secrets")
+def op6_forest_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return forest_secrets.scan(table(spark, folder, "documents"))
