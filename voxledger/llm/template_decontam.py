@@ -16,7 +16,7 @@ split when one passage stands in very many documents.
 Rules: a token is a run outside ``[\\x20\\x09-\\x0D]`` without ASCII punctuation at its ends; empty
 ones vanish. A first character 0-9 makes a number (only ``0-9.,:/-``) or a quantity (others); a known
 unit after a number is a unit; a capital (A-Z, À-Ö, Ø-Þ) before a small letter makes a name, unless it
-begins a sentence or line. All else is compared in lower case, so shouted passages match. Windows need
+begins a sentence or line. All else is compared in lower case, so shouted passages match, but for windows with names. Windows need
 ``literals`` words that are no placeholders. Items shorter than a window are one window, with at
 least ``short_literals``. Items without any such window, null and empty texts match nothing.
 """
