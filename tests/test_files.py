@@ -107,9 +107,9 @@ def test_streams_equal_batch(spark, rows, tmp_path):
     totals = streams.file_stream(spark, f"{tmp_path}/in", data.schema, files_per_trigger=1).groupBy("language").count()
     streams.run_totals(totals, f"{tmp_path}/totals", f"{tmp_path}/s2")
     assert rows(spark.read.parquet(f"{tmp_path}/totals")) == rows(data.groupBy("language").count())
-    dim = spark.createDataFrame([(1, "one")], "k int, v string")
+    dim = spark.createDataFrame([(1, "one", 2), (1, "old", 1)], "k int, v string, p int")
     joined = streams.lookup_static(
-        streams.file_stream(spark, f"{tmp_path}/in", data.schema), dim, "id", "k", "v", out="t"
+        streams.file_stream(spark, f"{tmp_path}/in", data.schema), dim, "id", "k", "v", position="p", out="t"
     )
     streams.run_to_files(joined.filter("id < 3"), f"{tmp_path}/j", f"{tmp_path}/s3")
     assert rows(spark.read.parquet(f"{tmp_path}/j"), "id", "t") == [(0, ""), (1, "one"), (2, "")]

@@ -8,11 +8,9 @@ from tests.brute import align, bleu, distance
 from voxledger.functions import alignment
 from voxledger.functions.bleu import add_bleu_counts, tokenize_13a
 from voxledger.functions.distance import (
-    LONG_PAIR,
     add_char_edits,
     add_word_edits,
     bit_parallel_distance,
-    encode_words,
 )
 from voxledger.operators import scoring
 
@@ -62,15 +60,6 @@ def test_word_edits_and_split(spark):
         assert r.ref_words - r.dels + r.ins == len(hyp.split())
 
 
-def test_codes_are_distinct_across_the_surrogate_gap(spark):
-    vocab = F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.concat(F.lit("w"), i.cast("string")))
-    picked = [1, 127, 128, 255, 256, 55_295, 55_296, 60_000]
-    words = F.array(*[F.lit(f"w{i}") for i in picked])
-    df = spark.range(1).select(vocab.alias("v"), words.alias("w"))
-    encoded = df.select(encode_words("w", "v")).first()[0]
-    assert len(encoded) == len(set(encoded)) == len(picked)
-
-
 def test_long_word_pairs(spark):
     words = [f"w{i}" for i in range(3000)]
     ref, hyp = " ".join(words), " ".join(words[1:300] + ["x"] + words[301:])
@@ -78,11 +67,32 @@ def test_long_word_pairs(spark):
     assert [(r.edits, r.ref_words) for r in got] == [(2, 3000), (1, 2)]
 
 
-def test_long_pairs_take_the_bit_parallel_way(spark):
+def test_lopsided_pairs(spark):
+    """200,000 words against none, one and a hundred; more distinct words than there are code points."""
+    words = [f"w{i}" for i in range(200_000)]
+    many = " ".join(str(i) for i in range(1_200_000))
+    pairs = [(" ".join(words), ""), (" ".join(words), "w7"), (" ".join(words), " ".join(words[50:150])), (many, "5 x"), ("", many)]
+    got = add_word_edits(frame(spark, pairs), "ref", "hyp").orderBy("i").collect()
+    assert [(r.edits, r.ref_words) for r in got] == [(200_000, 200_000), (199_999, 200_000), (199_900, 200_000), (1_199_999, 1_200_000), (1_200_000, 0)]
+
+
+def test_null_texts_add_nothing(spark):
+    pairs = [("a b", None), ("c d", "c x"), (None, "y")]
+    df = frame(spark, pairs).withColumn("ids", F.array(F.lit(1), F.lit(0), F.lit(2)))
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            assert scoring.wer_normalized(df, "ref", "hyp").first().wer_pooled == 0.5
+            record = scoring.evaluation_record(df, "ref", "hyp", "ids").first()
+            assert record.bleu == scoring.language_summary(df, "ref", "hyp").first().bleu and record.gen_len == 2.0
+        finally:
+            spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_long_character_pairs(spark):
     rnd = random.Random(3)
     a = "".join(rnd.choice("abcde") for _ in range(1200))
     b = "".join(c for c in a if rnd.random() > 0.1)
-    assert len(a) * len(b) > LONG_PAIR
     assert bit_parallel_distance(a, b) == distance(a, b)
     got = add_char_edits(frame(spark, [(a, b), ("abc", "abd"), (None, "x")]), "ref", "hyp")
     assert sorted((r.i, r.edits) for r in got.collect()) == [(0, distance(a, b)), (1, 1), (2, None)]

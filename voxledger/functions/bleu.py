@@ -63,7 +63,7 @@ def _tagged(grams: Column) -> Column:
     """
 
     def copies(ordered: Column, starts: Column) -> Column:
-        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(ordered)))
+        ends = F.concat(F.slice(starts, F.lit(2), F.array_size(starts)), F.array(F.array_size(ordered)))
         return F.zip_with(
             starts,
             ends,
@@ -74,7 +74,7 @@ def _tagged(grams: Column) -> Column:
 
     def tag(ordered: Column) -> Column:
         starts = F.filter(
-            F.sequence(F.lit(0), F.size(ordered) - 1),
+            F.sequence(F.lit(0), F.array_size(ordered) - 1),
             lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
         )
         return _let(starts, lambda s: F.flatten(copies(ordered, s)))
@@ -84,11 +84,11 @@ def _tagged(grams: Column) -> Column:
 
 def _clipped(hyp: Column, ref: Column) -> Column:
     """Matches of one order.  Copies only matter when both sides repeat some gram."""
-    common = F.size(F.array_intersect(hyp, ref))
-    plain = (F.size(F.array_distinct(hyp)) == F.size(hyp)) | (F.size(F.array_distinct(ref)) == F.size(ref))
+    common = F.array_size(F.array_intersect(hyp, ref))
+    plain = (F.array_size(F.array_distinct(hyp)) == F.array_size(hyp)) | (F.array_size(F.array_distinct(ref)) == F.array_size(ref))
     return (
         F.when(plain | (common == 0), common)
-        .otherwise(F.size(F.array_intersect(_tagged(hyp), _tagged(ref))))
+        .otherwise(F.array_size(F.array_intersect(_tagged(hyp), _tagged(ref))))
         .cast("bigint")
     )
 
@@ -101,7 +101,7 @@ def add_bleu_counts(df: DataFrame, ref: Column | str, hyp: Column | str) -> Data
         grown = {}
         for side in ("_r", "_h"):
             tokens = F.col(f"{side}1")
-            length = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+            length = F.greatest(F.array_size(tokens) - (n - 1), F.lit(0))
             grown[f"{side}{n}"] = F.zip_with(
                 F.slice(f"{side}{n - 1}", 1, length),
                 F.slice(tokens, n, length),
@@ -111,9 +111,9 @@ def add_bleu_counts(df: DataFrame, ref: Column | str, hyp: Column | str) -> Data
     return staged.select(
         *kept,
         *[_clipped(F.col(f"_h{n}"), F.col(f"_r{n}")).alias(f"match_{n}") for n in ORDERS],
-        *[F.size(f"_h{n}").cast("bigint").alias(f"total_{n}") for n in ORDERS],
-        F.size("_h1").cast("bigint").alias("hyp_len"),
-        F.size("_r1").cast("bigint").alias("ref_len"),
+        *[F.array_size(f"_h{n}").cast("bigint").alias(f"total_{n}") for n in ORDERS],
+        F.array_size("_h1").cast("bigint").alias("hyp_len"),
+        F.array_size("_r1").cast("bigint").alias("ref_len"),
     )
 
 

@@ -1,149 +1,114 @@
-"""Edit distance on words and characters.
+"""Edit distance on words and characters: one kernel for pairs of any size.
 
-The distinct words of one pair are numbered, each number becomes one character, and the
-built-in ``levenshtein`` counts edits between the two encoded strings.  The numbering is local
-to the row, so scoring is a narrow transformation: no shuffle, no dictionary shared between
-rows.
-
-``levenshtein`` costs length x length.  A corpus with one passage of 100,000 characters would
-keep one task busy for minutes, so pairs over ``LONG_PAIR`` cells go to a bit-parallel Arrow
-UDF instead (one bit per cell).  Short pairs reach that UDF as nulls.
+The kernel is bit-parallel: a row of the matrix is one integer, and every item of the hypothesis costs
+a few operations on it. Items need no numbering; each item of the hypothesis finds its places in the
+reference by one dictionary, so preparation is linear. All hypotheses of a reference are scored in
+one Arrow call that reads the reference once. Scoring is narrow: no shuffle, nothing
+shared between rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxledger.functions.text import _col, tokenize
-
-LONG_PAIR = 1_000_000
-_LATIN1 = 255  # chr() covers code points 1..255
-_SURROGATES = 0xD800
-_SUPPLEMENTARY_SHIFT = 0x10000 - _SURROGATES
+from voxledger.functions.text import _col
+
+
+class Reference:
+    """A reference, prepared to be compared with many hypotheses."""
+
+    def __init__(self, items: Sequence):
+        self.items = items
+        self.places: dict = {}
+        for i, item in enumerate(items):
+            self.places.setdefault(item, []).append(i)
+
+    def _bits(self, item) -> int:
+        row = bytearray(len(self.items) // 8 + 1)
+        for i in self.places.get(item, ()):
+            row[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(row, "little")
+
+    def distance(self, other: Sequence) -> int:
+        """Levenshtein distance by the bit-vector method of Myers (1999) in Hyyro's form (2001)."""
+        n = len(self.items)
+        if not n or not other:
+            return max(n, len(other))
+        if self.items == other:
+            return 0
+        known = {item: self._bits(item) for item in set(other)}
+        full, last = (1 << n) - 1, 1 << (n - 1)
+        plus, minus, score = full, 0, n
+        for item in other:
+            eq = known[item]
+            vertical = eq | minus
+            horizontal = (((eq & plus) + plus) ^ plus) | eq
+            up = minus | (full & ~(horizontal | plus))
+            down = plus & horizontal
+            if up & last:
+                score += 1
+            elif down & last:
+                score -= 1
+            up = (up << 1) | 1
+            plus = full & ((down << 1) | ~(vertical | up))
+            minus = full & up & vertical
+        return score
 
 
-def _encode_small(words: Column, vocab: Column) -> Column:
-    return F.array_join(F.transform(words, lambda w: F.chr(F.array_position(vocab, w))), "")
+def bit_parallel_distance(a: Sequence, b: Sequence) -> int:
+    return Reference(a).distance(b)
 
 
-def _encode_large(words: Column, vocab: Column) -> Column:
-    def code_point(w: Column) -> Column:
-        n = F.array_position(vocab, w)
-        return F.lpad(F.hex(F.when(n < _SURROGATES, n).otherwise(n + _SUPPLEMENTARY_SHIFT)), 8, "0")
+def _scorer(n_hyps: int, items: Callable[[str], Sequence]):
+    """Arrow UDF (reference, hypotheses...) -> (length of the reference, edits of each hypothesis)."""
+    fields = ["n", *[f"e{i}" for i in range(n_hyps)]]
 
-    return F.decode(F.unhex(F.array_join(F.transform(words, code_point), "")), "UTF-32")
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            out = []
+            for ref, *hyps in zip(*columns, strict=True):
+                if ref is None:
+                    out.append([None] * len(fields))
+                    continue
+                reference = Reference(items(ref))
+                out.append([len(reference.items), *[None if h is None else reference.distance(items(h)) for h in hyps]])
+            yield pd.DataFrame(out, columns=fields, dtype="Int64")
 
+    score.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(score, T.StructType([T.StructField(f, T.LongType()) for f in fields]))
 
-def encode_words(words: Column | str, vocab: Column | str) -> Column:
-    """One character per word, numbered by position in ``vocab`` (an array of distinct words).
 
-    Code points last for 1.1 million distinct words, more than a pair below ``LONG_PAIR`` has.
-    """
-    words, vocab = _col(words), _col(vocab)
-    small = F.size(vocab) <= _LATIN1
-    return F.when(small, _encode_small(words, vocab)).when(~small, _encode_large(words, vocab))
+def _add_edits(df: DataFrame, ref, hyps: Sequence, edits: Sequence[str], length: str, items) -> DataFrame:
+    kept = [c for c in df.columns if c not in (*edits, length)]
+    scored = df.withColumn("_scores", _scorer(len(hyps), items)(_col(ref), *[_col(h) for h in hyps]))
+    values = [F.col(f"_scores.e{i}").alias(e) for i, e in enumerate(edits)]
+    return scored.select(*kept, *values, F.col("_scores.n").alias(length))
 
 
-def bit_parallel_distance(a: Sequence, b: Sequence) -> int:
-    """Levenshtein distance by the bit-vector method of Myers (1999) in Hyyro's form (2001)."""
-    if len(a) < len(b):
-        a, b = b, a
-    if not b:
-        return len(a)
-    position_bits: dict = {}
-    for i, item in enumerate(b):
-        position_bits[item] = position_bits.get(item, 0) | (1 << i)
-    full = (1 << len(b)) - 1
-    last = 1 << (len(b) - 1)
-    plus, minus, score = full, 0, len(b)
-    for item in a:
-        eq = position_bits.get(item, 0)
-        vertical = eq | minus
-        horizontal = (((eq & plus) + plus) ^ plus) | eq
-        up = minus | (full & ~(horizontal | plus))
-        down = plus & horizontal
-        score += bool(up & last) - bool(down & last)
-        up = (up << 1) | 1
-        plus = full & ((down << 1) | ~(vertical | up))
-        minus = full & up & vertical
-    return score
-
-
-def _distances(a: pd.Series, b: pd.Series, items) -> pd.Series:
-    values = [
-        None if x is None or y is None else bit_parallel_distance(items(x), items(y)) for x, y in zip(a, b)
-    ]
-    return pd.Series(values, dtype="Int64")
-
-
-@F.pandas_udf(T.LongType())
-def _long_char_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _distances(a, b, str)
-
-
-@F.pandas_udf(T.LongType())
-def _long_word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _distances(a, b, str.split)
+def add_word_edits(
+    df: DataFrame, ref: Column | str, hyp: Column | str, *, edits: str = "edits", ref_words: str = "ref_words"
+) -> DataFrame:
+    """Add the word edit distance of a text pair and the reference word count; null for a null text."""
+    return _add_edits(df, ref, [hyp], [edits], ref_words, str.split)
 
 
-def add_word_edits(
-    df: DataFrame,
-    ref: Column | str,
-    hyp: Column | str,
-    *,
-    edits: str = "edits",
-    ref_words: str = "ref_words",
-    ref_tokens: str | None = None,
+def add_word_edits_of(
+    df: DataFrame, ref: Column | str, hyps: Sequence[Column | str], edits: Sequence[str], *, ref_words: str = "ref_words"
 ) -> DataFrame:
-    """Add the word edit distance of a text pair and the reference word count.
-
-    ``ref_tokens`` names a column that already holds the reference words.
-
-    Word arrays, vocabulary and codes are separate columns so that each is computed once a row.
-    """
-    kept = [c for c in df.columns if c not in (edits, ref_words)]
-    staged = df.withColumns({"_ref_t": _col(ref), "_hyp_t": _col(hyp)})
-    known = F.col(ref_tokens) if ref_tokens else tokenize("_ref_t")
-    staged = staged.withColumns({"_ref_w": known, "_hyp_w": tokenize("_hyp_t")})
-    cells = F.size("_ref_w").cast("bigint") * F.size("_hyp_w")
-    same = F.col("_ref_w") == F.col("_hyp_w")
-    staged = staged.withColumns({"_same": same, "_long": ~same & (cells > LONG_PAIR)})
-    coded = ~F.col("_same") & ~F.col("_long")
-    staged = staged.withColumn("_vocab", F.when(coded, F.array_union("_ref_w", "_hyp_w")))
-    staged = staged.withColumns(
-        {"_ref_c": encode_words("_ref_w", "_vocab"), "_hyp_c": encode_words("_hyp_w", "_vocab")}
-    )
-    distance = (
-        F.when(F.col("_same"), F.lit(0).cast("bigint"))
-        .when(F.col("_long"), _long_word_distance(*_only("_long", "_ref_t", "_hyp_t")))
-        .otherwise(F.levenshtein("_ref_c", "_hyp_c").cast("bigint"))
-    )
-    return staged.select(*kept, distance.alias(edits), F.size("_ref_w").cast("bigint").alias(ref_words))
-
-
-def _only(condition: str, *columns: str) -> list[Column]:
-    return [F.when(F.col(condition), F.col(c)) for c in columns]
+    """Word edit distances of several hypotheses of one reference, in one call a row."""
+    return _add_edits(df, ref, hyps, edits, ref_words, str.split)
 
 
 def add_char_edits(
     df: DataFrame, ref: Column | str, hyp: Column | str, *, edits: str = "edits", ref_chars: str = "ref_chars"
 ) -> DataFrame:
     """Add the character edit distance of a text pair and the reference length (spaces count)."""
-    kept = [c for c in df.columns if c not in (edits, ref_chars)]
-    staged = df.withColumns({"_ref_t": _col(ref), "_hyp_t": _col(hyp)})
-    cells = F.char_length("_ref_t").cast("bigint") * F.char_length("_hyp_t")
-    staged = staged.withColumn("_long", cells > LONG_PAIR)
-    distance = (
-        F.when(F.col("_ref_t") == F.col("_hyp_t"), F.lit(0).cast("bigint"))
-        .when(F.col("_long"), _long_char_distance(*_only("_long", "_ref_t", "_hyp_t")))
-        .otherwise(F.levenshtein("_ref_t", "_hyp_t").cast("bigint"))
-    )
-    return staged.select(*kept, distance.alias(edits), F.char_length("_ref_t").cast("bigint").alias(ref_chars))
+    return _add_edits(df, ref, [hyp], [edits], ref_chars, str)
 
 
 def error_rate(edits: Column | str, length: Column | str) -> Column:

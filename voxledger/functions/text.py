@@ -41,7 +41,7 @@ def tokenize(c: Column | str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    return F.size(tokenize(c)).cast("bigint")
+    return F.array_size(tokenize(c)).cast("bigint")
 
 
 def detokenize(c: Column | str) -> Column:

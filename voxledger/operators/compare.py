@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxledger.functions.distance import add_word_edits, error_rate
-from voxledger.functions.text import tokenize
+from voxledger.functions.distance import add_word_edits_of, error_rate
 
 
 def gather_systems(
@@ -79,10 +78,8 @@ def compare_wide(
     ``first_spec`` carry the ordering for :func:`top_records`.
     """
     kept = df.columns
-    scored = df.withColumn("_gold_w", tokenize(gold))
-    scored = add_word_edits(scored, gold, baseline, edits="_eb", ref_words="_n", ref_tokens="_gold_w")
-    for i, name in enumerate(systems):
-        scored = add_word_edits(scored, gold, name, edits=f"_e{i}", ref_words="_m", ref_tokens="_gold_w")
+    edits = ["_eb", *[f"_e{i}" for i in range(len(systems))]]
+    scored = add_word_edits_of(df, gold, [baseline, *systems], edits, ref_words="_n")
     scored = scored.withColumn("_wb", error_rate("_eb", "_n"))
 
     def entry(i: int, name: str) -> Column:
@@ -118,7 +115,7 @@ def compare_wide(
     generated = ranked.select(
         *[c for c in kept if c not in systems],
         (F.col("_wb") * 100).alias("wer_base"),
-        F.explode_outer(F.when(F.size("_ranked") > 0, F.array(outcome))).alias("_outcome"),
+        F.explode_outer(F.when(F.array_size("_ranked") > 0, F.array(outcome))).alias("_outcome"),
     )
     return generated.filter(F.col("_outcome").isNotNull()).select(
         *[c for c in kept if c not in systems], "wer_base", "_outcome.*"

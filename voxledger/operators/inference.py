@@ -23,17 +23,20 @@ OUTCOME = T.StructType([T.StructField("prediction", T.StringType()), T.StructFie
 
 
 def _outcomes(predict: Predict, texts: list[str]) -> list[tuple[str | None, str | None]]:
-    """Predict a batch; when it fails, row by row, so that only the failing rows are lost."""
+    """Predict a batch; when it fails or gives another number of texts, each half by itself.
+
+    So one failing row costs a few more calls, and only failing rows are lost.
+    """
     try:
-        return [(p, None) for p in predict(texts)]
-    except Exception:
-        outcomes: list[tuple[str | None, str | None]] = []
-        for t in texts:
-            try:
-                outcomes.append((predict([t])[0], None))
-            except Exception as e:
-                outcomes.append((None, f"{type(e).__name__}: {e}"))
-        return outcomes
+        got = list(predict(texts))
+        if len(got) != len(texts):
+            raise ValueError(f"the model gave {len(got)} texts for {len(texts)}")
+        return [(p, None) for p in got]
+    except Exception as e:
+        if len(texts) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+        middle = len(texts) // 2
+        return _outcomes(predict, texts[:middle]) + _outcomes(predict, texts[middle:])
 
 
 def model_udf(load: Callable[[], Predict]):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxledger.functions import text
@@ -49,13 +49,14 @@ def interleave_splits(
 
 def repeat_to_n(df: DataFrame, n: int | Column, order: Sequence[str], *, out: str = "repeat_pos") -> DataFrame:
     """Cycle through the table in order until ``n`` rows are produced."""
+    spark = df.sparkSession
+    if isinstance(n, Column):
+        n = spark.range(1).select(n.cast("bigint").alias("n")).first()["n"]
     numbered = with_ordinal(df, order, out="_at")
     size = numbered.agg(F.count("*").alias("n")).scalar()
-    copies = F.ceil(((n if isinstance(n, Column) else F.lit(n)) - F.col("_at")) / size)
-    epochs = F.when(copies > 0, F.sequence(F.lit(0).cast("bigint"), copies - 1))
-    return numbered.withColumn("_epoch", F.explode(epochs)).select(
-        *df.columns, (F.col("_epoch") * size + F.col("_at")).alias(out)
-    )
+    # The positions are made in many tasks; each takes its row by the rest of its division.
+    places = spark.range(n).select(F.col("id").alias("_place"), (F.col("id") % size).alias("_of"))
+    return places.join(numbered, F.col("_of") == F.col("_at")).select(*df.columns, F.col("_place").alias(out))
 
 
 def cap_per_source(
@@ -63,19 +64,16 @@ def cap_per_source(
 ) -> DataFrame:
     """First n rows of each source with a cap; sources without one pass through whole.
 
-    Uncapped sources never enter the window, and the rank limit is pushed below its shuffle,
-    so a task sorts at most the caps' worth of rows from each upstream task.
+    Ranks are positions from range partitions, so a source of any size, and caps of any size, are
+    spread over tasks; uncapped sources are not ranked.
     """
     limits = {k: v for k, v in caps.items() if v is not None}
     if not limits:
         return df
     capped = F.coalesce(F.col(source).isin(list(limits)), F.lit(False))
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col(source))
-    ranked = df.filter(capped).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(source).orderBy(*order))
-    )
-    first = ranked.filter(F.col("_rank") <= max(limits.values())).filter(F.col("_rank") <= limit)
-    return first.drop("_rank").unionByName(df.filter(~capped))
+    ranked = with_ordinal(df.filter(capped), order, (source,), "_rank")
+    return ranked.filter(F.col("_rank") < limit).drop("_rank").unionByName(df.filter(~capped))
 
 
 def first_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:

@@ -60,11 +60,11 @@ def label_batch(
     """
     cut = df.withColumn("_ids", truncate_tokens(ids, max_length) if max_length else F.col(ids))
     stats = cut.groupBy(F.col(batch_id).alias("_batch")).agg(
-        F.max(F.size("_ids")).alias("_longest"),
+        F.max(F.array_size("_ids")).alias("_longest"),
         F.bool_and(F.coalesce(F.get("_ids", F.lit(0)) == start_id, F.lit(False))).alias("_started"),
     )
     joined = cut.join(skew_ready(stats, "_batch"), F.col(batch_id).eqNullSafe(F.col("_batch")))
-    padding = F.array_repeat(F.lit(IGNORE_INDEX).cast("int"), F.col("_longest") - F.size("_ids"))
+    padding = F.array_repeat(F.lit(IGNORE_INDEX).cast("int"), F.col("_longest") - F.array_size("_ids"))
     padded = F.concat("_ids", padding)
     labels = F.when(F.col("_started"), F.slice(padded, F.lit(2), F.col("_longest"))).otherwise(padded)
     return joined.select(*[c for c in df.columns if c != out], labels.alias(out))

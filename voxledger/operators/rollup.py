@@ -37,7 +37,7 @@ def words_per_entry(df: DataFrame, column: str, *group: str) -> DataFrame:
 
 def seconds_of(array: str, sampling_rate: str):
     """Duration of a decoded recording; null where it does not decode."""
-    return F.try_divide(F.size(array).cast("double"), F.col(sampling_rate).cast("double"))
+    return F.try_divide(F.array_size(array).cast("double"), F.col(sampling_rate).cast("double"))
 
 
 def audio_hours(df: DataFrame, array: str, sampling_rate: str, *group: str) -> DataFrame:

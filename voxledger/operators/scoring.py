@@ -58,8 +58,9 @@ def wer_macro(df: DataFrame, ref: str, hyp: str, *group: str) -> DataFrame:
 
 
 def wer_normalized(df: DataFrame, ref: str, hyp: str, *group: str) -> DataFrame:
-    """Pooled rate and mean of row rates on scoring-cleaned text.  No rows at all is an error."""
-    scored = add_word_edits(df, text.clean_for_wer(ref), text.clean_for_wer(hyp))
+    """Pooled rate and mean of row rates on scoring-cleaned text, over rows with both texts.  No such row at all is an error."""
+    present = df.filter(F.col(ref).isNotNull() & F.col(hyp).isNotNull())
+    scored = add_word_edits(present, text.clean_for_wer(ref), text.clean_for_wer(hyp))
     pooled = _grouped(
         scored.withColumn("_wer", error_rate("edits", "ref_words")),
         group,
@@ -156,7 +157,7 @@ def language_summary(df: DataFrame, ref: str, hyp: str, *group: str, digits: int
 
 def generated_length(df: DataFrame, ids: str, *group: str, pad: int = 0) -> DataFrame:
     """Mean number of tokens that are not padding."""
-    kept = df.withColumn("_n", F.size(F.array_remove(ids, pad)).cast("bigint"))
+    kept = df.withColumn("_n", F.array_size(F.array_remove(ids, pad)).cast("bigint"))
     pooled = _grouped(kept, group, F.sum("_n").alias("n_tokens"), F.count("_n").alias("n_rows"))
     return pooled.withColumn("gen_len", error_rate("n_tokens", "n_rows"))
 
@@ -164,12 +165,13 @@ def generated_length(df: DataFrame, ids: str, *group: str, pad: int = 0) -> Data
 def evaluation_record(
     df: DataFrame, ref: str, hyp: str, ids: str, *group: str, pad: int = 0, digits: int = 4
 ) -> DataFrame:
-    """BLEU, mean word error rate and mean generated length in one aggregate."""
-    edits = add_word_edits(df, text.clean_for_wer(ref), text.clean_for_wer(hyp))
+    """BLEU, mean word error rate and mean generated length of rows with both texts, in one aggregate."""
+    present = df.filter(F.col(ref).isNotNull() & F.col(hyp).isNotNull())
+    edits = add_word_edits(present, text.clean_for_wer(ref), text.clean_for_wer(hyp))
     staged = edits.withColumns(
         {
             "_wer": error_rate("edits", "ref_words"),
-            "_len": F.size(F.array_remove(ids, pad)).cast("double"),
+            "_len": F.array_size(F.array_remove(ids, pad)).cast("double"),
         }
     )
     counted = bleu.add_bleu_counts(staged, text.strip_ws(ref), text.strip_ws(hyp))

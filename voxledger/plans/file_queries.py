@@ -64,17 +64,17 @@ def src_glob_tagged(spark, d):
 
 @query("src_csv_skip_bad", PAIRS_SQL + " SELECT file_name, code, CASE WHEN pos % 3 = 1 THEN NULL ELSE gold_transcript END AS transcript FROM pairs WHERE pos % 3 <> 2")
 def src_csv_skip_bad(spark, d):
-    """Full rows, short rows (kept, filled with nulls) and long rows (dropped)."""
+    """Full rows, short rows (kept, filled with nulls) and long rows (dropped); columns in another order than the schema."""
     path = scratch_path(spark, "csv")
     quoted = F.concat(F.lit('"'), F.replace("gold_transcript", F.lit('"'), F.lit('""')), F.lit('"'))
     line = (
-        F.when(F.col("pos") % 3 == 1, F.concat_ws(",", "file_name", "code"))
-        .when(F.col("pos") % 3 == 2, F.concat_ws(",", "file_name", "code", quoted, F.lit("extra")))
-        .otherwise(F.concat_ws(",", "file_name", "code", quoted))
+        F.when(F.col("pos") % 3 == 1, F.concat_ws(",", F.concat("code", F.lit(".0")), "file_name"))
+        .when(F.col("pos") % 3 == 2, F.concat_ws(",", "code", "file_name", quoted, F.lit("extra")))
+        .otherwise(F.concat_ws(",", "code", "file_name", quoted))
     )
     body = pairs(spark, d).select(line.alias("value"))
     # The header goes first in every part file.
-    numbered = body.mapInArrow(_with_header("file_name,code,transcript"), "value string")
+    numbered = body.mapInArrow(_with_header("code,file_name,transcript"), "value string")
     numbered.write.text(path)
     schema = T.StructType(
         [T.StructField("file_name", T.StringType()), T.StructField("code", T.LongType()), T.StructField("transcript", T.StringType())]
@@ -138,7 +138,7 @@ def sink_csv(spark, d):
 def sink_partitioned(spark, d):
     path = scratch_path(spark, "partitioned")
     built = nested.build_pairs(pairs(spark, d), "sys_uni", "gold_transcript", target_keys=ISO3)
-    writers.write_partitioned(built.select("pos", "translation", "region", "language"), path, "region", "language", files_per_value=4)
+    writers.write_partitioned(built.select("pos", "translation", "region", "language"), path, "region", "language", gather=True)
     schema = T.StructType(
         [T.StructField("pos", T.LongType()), T.StructField("translation", T.MapType(T.StringType(), T.StringType()))]
         + [T.StructField(c, T.StringType()) for c in ("region", "language")]
@@ -174,7 +174,7 @@ def src_optional(spark, d):
     base = scratch_path(spark, "optional")
     writers.write_json_array(_records(spark, d), f"{base}/good")
     torn = table(spark, d, "documents").select(F.concat(F.lit('[{"file_name": '), "doc_id").alias("value"))
-    torn.coalesce(1).write.text(f"{base}/bad")
+    torn.write.text(f"{base}/bad")
     good, skipped = readers.read_optional(
         spark, {"baseline": f"{base}/good", "broken": f"{base}/bad", "absent": f"{base}/none"}, RECORD
     )
@@ -187,7 +187,7 @@ def src_optional(spark, d):
 
 
 def _stream(spark, d, name):
-    return streams.file_stream(spark, d, table(spark, d, name).schema, pattern=f"{name}.parquet")
+    return streams.file_stream(spark, f"{d}/{name}.parquet", table(spark, d, name).schema)
 
 
 @query("stream_normalize", "SELECT doc_id, 16 AS sampling_rate, text AS sentence FROM documents")
@@ -195,8 +195,7 @@ def stream_normalize(spark, d):
     out, state = scratch_path(spark, "stream-normalize"), scratch_path(spark, "state")
     audio = F.struct(F.array(F.lit(0.0)).alias("array"), F.lit(16).alias("sampling_rate"))
     docs = _stream(spark, d, "documents").select("doc_id", F.col("text").alias("transcription"), audio.alias("audio"))
-    ids = docs.select("doc_id", "audio", "transcription")
-    normalized = ids.select("doc_id", F.col("audio.sampling_rate").alias("sampling_rate"), F.col(readers.CORPUS_TEXT["fleurs"]).alias("sentence"))
+    normalized = readers.normalize_corpus(docs, "fleurs", keep=("doc_id",)).select("doc_id", "sampling_rate", "sentence")
     streams.run_to_files(normalized, out, state)
     return spark.read.parquet(out)
 
@@ -207,9 +206,12 @@ def stream_normalize(spark, d):
 )
 def stream_lookup(spark, d):
     out, state = scratch_path(spark, "stream-lookup"), scratch_path(spark, "state")
-    dim = table(spark, d, "labels").select(F.col("doc_id").alias("codes"), F.concat(F.lit("quality "), "quality").alias("transcript"))
+    """Every key stands twice in the dimension; its later row counts."""
+    labels = table(spark, d, "labels")
+    later = labels.select(F.col("doc_id").alias("codes"), F.concat(F.lit("quality "), "quality").alias("transcript"), F.lit(2).alias("pos"))
+    dim = later.unionByName(labels.select(F.col("doc_id").alias("codes"), F.lit("outdated").alias("transcript"), F.lit(1).alias("pos")))
     docs = _stream(spark, d, "documents").select("doc_id")
-    streams.run_to_files(streams.lookup_static(docs, dim, "doc_id", "codes", "transcript", out="translation"), out, state)
+    streams.run_to_files(streams.lookup_static(docs, dim, "doc_id", "codes", "transcript", position="pos", out="translation"), out, state)
     return spark.read.parquet(out)
 
 

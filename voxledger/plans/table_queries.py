@@ -122,18 +122,18 @@ def match_files(spark, d):
 
 # ---------------------------------------------------------------- mixing
 
-_TURNS_SQL = "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS rn FROM conversations"
+_TURNS_SQL = "SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS rn FROM conversations"
 
 
 def _turns(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
 
 
 def _interleave_sql(roles: list[str]) -> str:
     case = "CASE role " + " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(roles)) + " END"
     return f"""WITH n AS (SELECT *, {case} AS i FROM ({_TURNS_SQL}) WHERE {case} IS NOT NULL),
     e AS (SELECT rn AS er, i AS ei FROM n QUALIFY row_number() OVER (PARTITION BY i ORDER BY rn DESC) = 1 ORDER BY er, ei LIMIT 1)
-    SELECT conv_id, turn, role, CAST((rn - 1) * {len(roles)} + i AS BIGINT) AS mix_pos FROM n, e WHERE rn < er OR (rn = er AND i <= ei)"""
+    SELECT conv_id, turn, role, text, CAST((rn - 1) * {len(roles)} + i AS BIGINT) AS mix_pos FROM n, e WHERE rn < er OR (rn = er AND i <= ei)"""
 
 
 @query("interleave", _interleave_sql(["user", "assistant", "system"]))
@@ -148,22 +148,22 @@ def interleave_splits(spark, d):
 
 @query(
     "repeat_to_n",
-    """WITH b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS seq, count(*) OVER () AS size FROM benchmark),
+    """WITH b AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS seq, count(*) OVER () AS size FROM benchmark),
     d AS (SELECT count(*) AS n FROM documents), e AS (SELECT unnest(range(0, (SELECT n FROM d))) AS epoch)
-    SELECT item_id, CAST(epoch * size + seq AS BIGINT) AS repeat_pos FROM b, e, d WHERE epoch * size + seq < n""",
+    SELECT item_id, text, CAST(epoch * size + seq AS BIGINT) AS repeat_pos FROM b, e, d WHERE epoch * size + seq < n""",
 )
 def repeat_to_n(spark, d):
     """Cycle the short table until it has as many rows as the long one."""
     n = table(spark, d, "documents").agg(F.count("*")).scalar()
-    return mixing.repeat_to_n(table(spark, d, "benchmark").select("item_id"), n, ["item_id"])
+    return mixing.repeat_to_n(table(spark, d, "benchmark").select("item_id", "text"), n, ["item_id"])
 
 
 @query(
     "cap_per_source",
-    f"SELECT conv_id, turn, role FROM ({_TURNS_SQL}) WHERE role = 'system' OR (role = 'user' AND rn <= 150) OR (role = 'assistant' AND rn <= 75)",
+    f"SELECT conv_id, turn, role, text FROM ({_TURNS_SQL}) WHERE role = 'system' OR (role = 'user' AND rn <= 1750) OR (role = 'assistant' AND rn <= 2525)",
 )
 def cap_per_source(spark, d):
-    return mixing.cap_per_source(_turns(spark, d), "role", {"user": 150, "assistant": 75, "system": None}, ["conv_id", "turn"])
+    return mixing.cap_per_source(_turns(spark, d), "role", {"user": 1750, "assistant": 2525, "system": None}, ["conv_id", "turn"])
 
 
 # ---------------------------------------------------------------- nesting
@@ -347,7 +347,7 @@ def normalize_corpora(spark, d):
             F.lit(name).alias("corpus"),
             "sentence",
             "sampling_rate",
-            F.size("audio_array").cast("bigint").alias("n_samples"),
+            F.array_size("audio_array").cast("bigint").alias("n_samples"),
             F.round(F.get("audio_array", F.lit(0)).cast("double"), 5).alias("first_sample"),
         )
         for name, df in _corpus_tables(spark, d).items()

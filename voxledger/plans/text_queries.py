@@ -54,7 +54,7 @@ def detokenize(spark, d):
 )
 def tokenize(spark, d):
     words = documents(spark, d).select("doc_id", text.tokenize("text").alias("w"))
-    return words.select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.array_join("w", "|").alias("words"))
+    return words.select("doc_id", F.array_size("w").cast("bigint").alias("n_words"), F.array_join("w", "|").alias("words"))
 
 
 @query("strip_ws", f"SELECT doc_id, {strip_sql(chr(39) + '  ' + chr(39) + ' || text || chr(10) || chr(9)')} AS stripped FROM documents")
@@ -70,7 +70,7 @@ def strip_ws(spark, d):
 )
 def truncate_tokens(spark, d):
     cut = documents(spark, d).select("doc_id", text.truncate_tokens(text.tokenize("text"), 128).alias("w"))
-    return cut.select("doc_id", F.size("w").cast("bigint").alias("n_kept"), F.array_join("w", " ").alias("kept"))
+    return cut.select("doc_id", F.array_size("w").cast("bigint").alias("n_kept"), F.array_join("w", " ").alias("kept"))
 
 
 @query("source_prefix", "SELECT doc_id, 'translate: ' || text AS input FROM documents")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,46 +15,87 @@ from voxledger.operators.ordering import with_ordinal
 CORRUPT = "_corrupt_record"
 
 
+WHOLE = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+
+
+def _loose(schema: T.StructType) -> T.StructType:
+    """Whole numbers as text, since files may write them as ``1679.0``."""
+    return T.StructType([T.StructField(f.name, T.StringType()) if isinstance(f.dataType, WHOLE) else f for f in schema])
+
+
+def _typed(c: Column, kind: T.DataType) -> Column:
+    """Text as ``kind``; ``1679.0`` is a whole number, and what is no value of the kind is null."""
+    whole = F.regexp_replace(c, r"^\s*([+-]?\d+)\.0*\s*$", "$1") if isinstance(kind, WHOLE) else c
+    return whole.try_cast(kind)
+
+
+def _narrow(schema: T.StructType) -> list[Column]:
+    return [(_typed(F.col(f.name), f.dataType) if isinstance(f.dataType, WHOLE) else F.col(f.name)).alias(f.name) for f in schema]
+
+
 def read_json_array(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Files that each hold one JSON array of records (``[]`` gives no rows).
 
     A JSON array cannot be split, so one task reads each file; keep large data in many files.
     """
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return _json_array(spark, path, schema).select(*schema.names)
+
+
+def _json_array(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    raw = spark.read.schema(_loose(schema)).option("multiLine", True).json(path)
+    return raw.select(*_narrow(schema), F.col("_metadata.file_path").alias("_path"))
 
 
 def read_tagged(spark: SparkSession, glob: str, schema: T.StructType) -> DataFrame:
     """All files of a glob, tagged with language (file stem) and data name (parent directory)."""
-    path = F.col("_metadata.file_path")
-    return read_json_array(spark, glob, schema).select(
-        "*", text.file_language(path).alias("language"), text.parent_dir(path).alias("data_name")
+    path = F.col("_path")
+    return _json_array(spark, glob, schema).select(
+        *schema.names, text.file_language(path).alias("language"), text.parent_dir(path).alias("data_name")
     )
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, *, skip_long_rows: bool = False) -> DataFrame:
-    """CSV with a header.  Short rows are filled with nulls; long rows are dropped on request.
+def read_csv(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType,
+    *,
+    skip_long_rows: bool = False,
+    strict: bool = False,
+    multi_line: bool = True,
+) -> DataFrame:
+    """CSV with a header, columns by the header's names; a column that no file has is null.
 
-    Everything is read as text with one column more than the schema.  A row with exactly one
+    Short rows are filled with nulls; long rows are dropped on request, and else lose their last fields.
+    ``strict`` fails on long rows and on values that are not of their type. Without ``multi_line`` no
+    value may hold a line break, and files can be split over tasks. All files have one header.
+
+    Everything is read as text with one column more than the header.  A row with exactly one
     field too many fits and is not marked; rows of any other size are marked as corrupt, and of
     those the long ones have text in the extra column.
     """
-    names = [f.name for f in schema]
     extra = "_extra"
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
+    names = reader.csv(path).columns  # reads the header only
     wide = T.StructType([T.StructField(c, T.StringType()) for c in (*names, extra, CORRUPT)])
-    raw = (
-        spark.read.schema(wide)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-    )
+    raw = reader.schema(wide).option("enforceSchema", True).option("emptyValue", "").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    fits = F.col(CORRUPT).isNotNull() & F.col(extra).isNull()
     if skip_long_rows:
-        raw = raw.filter(F.col(CORRUPT).isNotNull() & F.col(extra).isNull())
-    filled = {f.name: F.nullif(F.col(f.name), F.lit("")) for f in schema}
-    return raw.select(*[filled[f.name].try_cast(f.dataType).alias(f.name) for f in schema])
+        raw = raw.filter(fits)
+    elif strict:
+        long_row = F.raise_error(F.concat(F.lit("a row has more fields than the header: "), F.coalesce(F.col(extra), F.lit(""))))
+        raw = raw.withColumn(CORRUPT, F.when(fits, F.col(CORRUPT)).otherwise(long_row)).filter(F.col(CORRUPT).isNotNull())
+
+    def value(f: T.StructField) -> Column:
+        if f.name not in names:
+            return F.lit(None).cast(f.dataType)
+        given = F.nullif(F.col(f.name), F.lit(""))
+        typed = _typed(given, f.dataType)
+        if strict:
+            bad = F.raise_error(F.concat(F.lit(f"{f.name} is no {f.dataType.simpleString()}: "), given)).cast(f.dataType)
+            typed = F.when(given.isNotNull() & typed.isNull(), bad).otherwise(typed)
+        return typed
+
+    return raw.select(*[value(f).alias(f.name) for f in schema])
 
 
 VALID_EXTENSIONS = ("json", "jsonl")
@@ -106,9 +147,10 @@ def effective_split(corpus: str, config: str, split: str) -> str:
     return SPLIT_SUBSTITUTES.get((corpus, config, split), split)
 
 
-def normalize_corpus(df: DataFrame, corpus: str, *, audio: str = "audio") -> DataFrame:
-    """Any corpus to ``audio_array, sampling_rate, sentence``; other columns are not read."""
+def normalize_corpus(df: DataFrame, corpus: str, *, audio: str = "audio", keep: Sequence[str] = ()) -> DataFrame:
+    """Any corpus to ``audio_array, sampling_rate, sentence``; but for ``keep`` other columns are not read."""
     return df.select(
+        *keep,
         F.col(f"{audio}.array").alias("audio_array"),
         F.col(f"{audio}.sampling_rate").alias("sampling_rate"),
         F.col(CORPUS_TEXT[corpus]).alias("sentence"),
@@ -136,14 +178,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def read_optional(
     spark: SparkSession, inputs: Mapping[str, str], schema: T.StructType
 ) -> tuple[DataFrame, DataFrame]:
-    """Read the inputs that exist; report the missing ones and the files that do not parse.
+    """Read the inputs that exist; report the missing ones, files that do not parse, and records with a mistyped number.
 
-    Gives (records with an ``input`` column, skipped inputs with the reason).
+    Gives (records with an ``input`` column, skipped inputs with the reason).  A mistyped number is null in its record;
+    the other records of its file are not touched.
     """
     present = {name: path for name, path in inputs.items() if path_exists(spark, path)}
     missing = [(name, path, "missing") for name, path in inputs.items() if name not in present]
     skipped = spark.createDataFrame(missing, "input string, path string, reason string")
-    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    with_corrupt = T.StructType([*_loose(schema).fields, T.StructField(CORRUPT, T.StringType())])
     empty = spark.createDataFrame([], with_corrupt).withColumns({"input": F.lit(""), "path": F.lit("")})
     parts = [
         spark.read.schema(with_corrupt)
@@ -156,6 +199,11 @@ def read_optional(
     rows = reduce(DataFrame.unionByName, parts, empty)
     # Spark refuses to read the corrupt-record column alone, so the whole record is read.
     whole = F.length(F.to_json(F.struct(*schema.names))) >= 0
-    bad = rows.filter(F.col(CORRUPT).isNotNull() & whole).select("input", "path", F.lit("bad json").alias("reason"))
-    good = rows.filter(F.col(CORRUPT).isNull() & whole).drop(CORRUPT, "path")
-    return good, skipped.unionByName(bad.distinct())
+    mistyped = F.lit(False)
+    for f in schema:
+        if isinstance(f.dataType, WHOLE):
+            mistyped = mistyped | (F.col(f.name).isNotNull() & _typed(F.col(f.name), f.dataType).isNull())
+    bad = rows.filter(F.col(CORRUPT).isNotNull() & whole).select("input", "path", F.lit("bad json").alias("reason")).distinct()
+    odd = rows.filter(F.col(CORRUPT).isNull() & mistyped).select("input", "path", F.lit("bad value").alias("reason"))
+    good = rows.filter(F.col(CORRUPT).isNull() & whole).select(*_narrow(schema), "input")
+    return good, skipped.unionByName(bad).unionByName(odd)

@@ -39,17 +39,15 @@ def write_csv(df: DataFrame, path: str, *, mode: str = "error") -> None:
 
 
 def write_partitioned(
-    df: DataFrame, path: str, *by: str, mode: str = "error", format: str = "json", files_per_value: int | None = None
+    df: DataFrame, path: str, *by: str, mode: str = "error", format: str = "json", gather: bool = False
 ) -> None:
     """One directory per value of the ``by`` columns.
 
-    ``files_per_value`` bounds the number of files of each value; rows are then spread over that
-    many tasks per value, so a value with a third of all rows is not written by one task.
+    ``gather`` brings the rows of a value together, for few files; adaptive execution splits a large
+    value over as many tasks as its bytes need.
     """
-    if files_per_value:
-        row = F.to_json(F.struct(*[c for c in df.columns if c not in by]))
-        salt = F.pmod(F.xxhash64(row), F.lit(files_per_value))
-        df = df.withColumn("_salt", salt).repartition(*by, "_salt").drop("_salt")
+    if gather:
+        df = df.hint("rebalance", *by)
     df.write.mode(mode).partitionBy(*by).format(format).save(path)
 
 

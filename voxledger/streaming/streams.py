@@ -6,20 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxledger.operators.lookup import last_wins
+
+
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, *, files_per_trigger: int = 64) -> DataFrame:
+    """A Parquet table as a stream of its files: a directory of part files, or one file.
+
+    A single file is watched for by its name in the directory above.
+    """
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    directory = system.getFileStatus(hadoop_path).isDirectory()
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if directory:
+        return reader.option("pathGlobFilter", "*.parquet").parquet(path)
+    return reader.option("pathGlobFilter", hadoop_path.getName()).parquet(hadoop_path.getParent().toString())
 
-def file_stream(spark: SparkSession, directory: str, schema: T.StructType, *, pattern: str = "*.parquet", files_per_trigger: int = 64) -> DataFrame:
-    """New Parquet files of a directory as a stream."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(directory)
-    )
 
+def lookup_static(
+    stream: DataFrame, dim: DataFrame, key: str, dim_key: str, value: str, *, position: str, out: str, default: str = ""
+) -> DataFrame:
+    """Stream joined with a static dimension; the default where it has no row.
 
-def lookup_static(stream: DataFrame, dim: DataFrame, key: str, dim_key: str, value: str, *, out: str, default: str = "") -> DataFrame:
-    """Stream joined with a static dimension (one row per key); the default where it has none."""
-    table = dim.select(F.col(dim_key).alias("_key"), F.col(value).alias("_value"))
+    Of rows with one key the one at the greatest ``position`` counts, so no stream row is doubled.
+    """
+    table = last_wins(dim, dim_key, position, value).select(F.col(dim_key).alias("_key"), F.col(value).alias("_value"))
     joined = stream.join(table, stream[key] == table["_key"], "left")
     return joined.select(*stream.columns, F.coalesce("_value", F.lit(default)).alias(out))
 
