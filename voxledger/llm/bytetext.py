@@ -2,7 +2,7 @@
 
 Words are runs of bytes outside ``[\\x20\\x09-\\x0D]``. Their hashes are 64-bit polynomials taken
 from prefix sums over the buffer, so a batch costs a fixed number of numpy passes and no Python
-loop over words. Batches are cut into slices of a few megabytes first, which bounds memory
+loop over words. Batches are cut into slices of a megabyte first, which bounds memory
 whatever the length of the texts; only a single longer text makes a longer slice.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True

@@ -12,7 +12,7 @@ from collections.abc import Callable
 class Memo(dict):
     """key -> make(key), made once; at most ``limit`` entries."""
 
-    def __init__(self, make: Callable, limit: int = 600_000):
+    def __init__(self, make: Callable, limit: int = 500_000):
         super().__init__()
         self.make, self.limit = make, limit
 
