@@ -78,8 +78,9 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
 
 
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and n + 1 offsets of a string column; null is empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """Bytes and n + 1 offsets of a string or binary column; null is empty."""
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = pc.fill_null(column.cast(pa.large_binary()), b"") if binary else pc.fill_null(column.cast(pa.large_string()), "")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     if len(column) == 0 or offsets[-1] == offsets[0]:
         return np.zeros(0, np.uint8), offsets - offsets[0]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxledger.llm.bytetext import slices, span_hash, words
+from voxledger.llm.bytetext import buffer, slices, span_hash, words
 from voxledger.llm.tables import held_out
 
 
@@ -95,13 +95,13 @@ def train(confirmed: Sparse, unlabelled: Sparse, prior: float, p: Parameters) ->
     df = np.bincount(unlabelled.index, minlength=size)
     used = (df >= max(3, p.least_share * n_u)) & (df <= p.most_share * n_u)
     keep = np.flatnonzero(used)
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[keep] = np.arange(len(keep))
 
     def narrow(x: Sparse) -> Sparse:
         at = place[x.index] >= 0
         bounds = np.concatenate([[0], np.cumsum(at)])[x.bounds]
-        return Sparse(place[x.index[at]], x.value[at].astype(np.float64) * p.scale, bounds)
+        return Sparse(place[x.index[at]], x.value[at] * np.float32(p.scale), bounds)
 
     confirmed, unlabelled = narrow(confirmed), narrow(unlabelled)
     rng = np.random.default_rng(7)
@@ -132,9 +132,11 @@ def train(confirmed: Sparse, unlabelled: Sparse, prior: float, p: Parameters) ->
 
 
 def _sparse(rows: pa.Table) -> Sparse:
-    parts = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(rows.column("i").to_pylist(), rows.column("v").to_pylist(), strict=True)]
-    bounds = np.concatenate([[0], np.cumsum([len(i) for i, _ in parts])]).astype(np.int64)
-    return Sparse(np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts]), bounds)
+    """Sparse rows in the order of their ids, read from the Arrow buffers without a copy for each row."""
+    rows = rows.combine_chunks()
+    order = np.argsort(rows.column("id").to_numpy(), kind="stable")
+    (index, bounds), (value, _) = (buffer(rows.column(k).chunk(0).cast(pa.large_binary())) for k in "iv")
+    return Sparse(index.view(np.int32), value.view(np.float32), bounds // 4).take(order)
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Model:
@@ -157,11 +159,12 @@ def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Mod
                 cut = [(index[a:b].tobytes(), value[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.record_batch([batch.column("id").slice(at, len(column)), batch.column("part").slice(at, len(column)), pa.array([x for x, _ in cut], pa.binary()), pa.array([x for _, x in cut], pa.binary())], names=["id", "part", "i", "v"])
 
-    rows = texts.mapInArrow(run, "id long, part int, i binary, v binary").toArrow().sort_by([("id", "ascending")])
-    parts = [rows.filter(pa.compute.equal(rows.column("part"), k)) for k in (1, 0)]
-    if not parts[0].num_rows or not parts[1].num_rows:
+    rows = texts.mapInArrow(run, "id long, part int, i binary, v binary")
+    # One sample after the other; rows of one id in the order of their features.
+    confirmed, hidden = (rows.filter(F.col("part") == k).drop("part").toArrow() for k in (1, 0))
+    if not confirmed.num_rows or not hidden.num_rows:
         return Model(None, 0.0)
-    return train(_sparse(parts[0]), _sparse(parts[1]), float(prior), p)
+    return train(_sparse(confirmed), _sparse(hidden), float(prior), p)
 
 
 def score(docs: DataFrame, model: Model, p: Parameters = Parameters()) -> DataFrame:
