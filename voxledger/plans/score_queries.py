@@ -78,13 +78,13 @@ def wer_macro(spark, d):
 
 @query(
     "wer_norm_pair",
-    f"""{PAIRS_SQL}, {_src(norm_wer_sql('gold_transcript'), norm_wer_sql('sys_multi'))}, {edits_sql('src', 'ref', 'hyp')}
+    f"""{PAIRS_SQL}, {_src(norm_wer_sql('gold_transcript'), norm_wer_sql('sys_uni'), 'sys_uni IS NOT NULL')}, {edits_sql('src', 'ref', 'hyp')}
     SELECT language, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(ref_words) AS BIGINT) AS ref_words,
       count(*) AS n_pairs, round(avg(edits / nullif(ref_words, 0)), 6) AS wer_mean,
       round(sum(edits) / sum(ref_words), 6) AS wer_pooled FROM scored GROUP BY ALL""",
 )
 def wer_norm_pair(spark, d):
-    out = scoring.wer_normalized(pairs(spark, d), GOLD, "sys_multi", "language")
+    out = scoring.wer_normalized(pairs(spark, d), GOLD, "sys_uni", "language")
     return out.withColumns({c: F.round(c, 6) for c in ("wer_mean", "wer_pooled")})
 
 
@@ -197,16 +197,16 @@ _NORM_EDITS = edits_sql("norm", "nref", "nhyp")
 
 @query(
     "eval_record",
-    f"""{PAIRS_SQL}, src AS (SELECT pos, language, {strip_sql('gold_transcript')} AS ref, {strip_sql('sys_multi')} AS hyp FROM pairs),
-    norm AS (SELECT pos, language, {norm_wer_sql('gold_transcript')} AS nref, {norm_wer_sql('sys_multi')} AS nhyp,
-      len(list_filter({_IDS_SQL}, lambda x: x <> 0)) AS n FROM pairs),
+    f"""{PAIRS_SQL}, src AS (SELECT pos, language, {strip_sql('gold_transcript')} AS ref, {strip_sql('sys_uni')} AS hyp FROM pairs WHERE sys_uni IS NOT NULL),
+    norm AS (SELECT pos, language, {norm_wer_sql('gold_transcript')} AS nref, {norm_wer_sql('sys_uni')} AS nhyp,
+      len(list_filter({_IDS_SQL}, lambda x: x <> 0)) AS n FROM pairs WHERE sys_uni IS NOT NULL),
     {_NORM_EDITS},
     w AS (SELECT language, round(avg(edits / nullif(ref_words, 0)), 4) AS wer, round(avg(n), 4) AS gen_len FROM scored GROUP BY ALL),
     {bleu_sql('src', 'ref', 'hyp', 'language')}
     SELECT language, round({bleu_score_sql()}, 4) AS bleu, wer, gen_len FROM pooled JOIN w USING (language)""",
 )
 def eval_record(spark, d):
-    return scoring.evaluation_record(pairs(spark, d).withColumn("ids", _ids()), GOLD, "sys_multi", "ids", "language")
+    return scoring.evaluation_record(pairs(spark, d).withColumn("ids", _ids()), GOLD, "sys_uni", "ids", "language")
 
 
 @query(
