@@ -20,8 +20,10 @@ in order of a hash of their texts. An empty table writes no file.
 
 from __future__ import annotations
 
+import array
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -160,29 +162,48 @@ class Shard:
         return self.ids(self.bounds.get(i), self.bounds.get(i + 1))
 
 
+#: Small Latin-1 letters, then ASCII marks and digits without the apostrophe: the tokenizer's pattern parts the two.
+_SIMPLE = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-@\[-`{-~]*)")
+
+
 class WordEncoder:
-    """Ids of texts by their distinct words, as bytes of the file's id type."""
+    """Ids of texts by their distinct words, as bytes of the file's id type.
 
-    def __init__(self, tokenizer: str, dtype: str, end_id: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    The letters of a simple word go to the tokenizer's model at once, in small letters and in its byte
+    alphabet, and the marks after them are looked up. All other words go through the whole tokenizer.
+    """
 
-        self.tokenizer, self.dtype = Tokenizer.from_str(tokenizer), dtype
-        self.end = np.array([end_id], dtype).tobytes()
-        self.words = Memo(None)
+    def __init__(self, tokenizer: str, id_bytes: int, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.kind = Tokenizer.from_str(tokenizer), "H" if id_bytes == 2 else "I"
+        self.tokenize = self.tokenizer.model.tokenize
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        latin = [chr(c) for c in range(0xDF, 0x100)]
+        self.alphabet = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in latin})
+        self.end = self._bytes([end_id])
+        self.words, self.others = Memo(self._word), Memo(self._whole, 50_000)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array.array(self.kind, ids).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        simple = _SIMPLE.fullmatch(text.lower())
+        if simple is None:
+            return self._whole(text)
+        letters, marks = simple.groups()
+        if not letters.isascii():
+            letters = letters.translate(self.alphabet)
+        ids = self._bytes([t.id for t in self.tokenize(letters)])
+        return ids + self.others[marks] if marks else ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.encode().split() if t else [] for t in texts]
-        distinct = set().union(*split)
-        missing = list(distinct.difference(self.words))
-        if len(self.words) + len(missing) > self.words.limit:
-            self.words.clear()
-            missing = list(distinct)
-        for at in range(0, len(missing), 2000):
-            part = missing[at : at + 2000]
-            for word, coded in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.words[word] = np.array(coded.ids, self.dtype).tobytes()
-        return [b"".join(map(self.words.__getitem__, w)) + self.end for w in split]
+        return [b"".join(map(self.words.__getitem__, t.encode().split() if t else ())) + self.end for t in texts]
 
 
 def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str, ids_a_file: int = IDS_A_FILE) -> DataFrame:
@@ -194,7 +215,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str,
     id_bytes = 2 if max(Tokenizer.from_file(tokenizer_file).get_vocab_size() - 1, end_id) < 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder: WordEncoder = per_worker(("ids", tokenizer_file, end_id), lambda: WordEncoder(tokenizer.value, f"<u{id_bytes}", end_id))
+        coder: WordEncoder = per_worker(("ids", tokenizer_file, end_id), lambda: WordEncoder(tokenizer.value, id_bytes, end_id))
         shard, part, writer, done = TaskContext.get().partitionId(), 0, None, []
         for batch in batches:
             for at, column in slices(batch.column("text")):
