@@ -12,7 +12,67 @@ from voxledger.plans.registry import query
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
-@query("op1_template_decontam")
+_UPPER = "".join(map(chr, [*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
+_LOWER = "".join(map(chr, [*range(0x61, 0x7B), *range(0xE0, 0xF7), *range(0xF8, 0xFF)]))
+_MARKS = r"[!-/:-@\[-`{-~]+"
+_UNITS = ", ".join(f"'{u}'" for u in template_decontam.UNITS)
+
+OP1_SQL = rf"""
+WITH texts AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+parts AS (
+  SELECT side, id, unnest(p) AS raw, generate_subscripts(p, 1) AS i
+  FROM (SELECT side, id, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+') AS p FROM texts)),
+lined AS (
+  SELECT *, regexp_replace(regexp_replace(raw, '^{_MARKS}', ''), '{_MARKS}$', '') AS core,
+    sum(length(raw) - length(replace(raw, chr(10), ''))) OVER (PARTITION BY side, id ORDER BY i) AS line
+  FROM parts),
+cores AS (SELECT * FROM lined WHERE core <> '' AND NOT regexp_matches(raw, '^[\x20\x09-\x0D]')),
+placed AS (
+  SELECT side, id, core, translate(core, '{_UPPER}', '{_LOWER}') AS word,
+    row_number() OVER w AS n, lag(raw) OVER w AS before, lag(line) OVER w AS line_before, line,
+    regexp_full_match(core, '[0-9][0-9.,:/-]*') AS number, lag(core) OVER w AS core_before
+  FROM cores WINDOW w AS (PARTITION BY side, id ORDER BY i)),
+kinds AS (
+  SELECT side, id, n, word, CASE
+    WHEN number THEN 'number' WHEN regexp_matches(core, '^[0-9]') THEN 'quantity'
+    WHEN word IN ({_UNITS}) AND regexp_full_match(core_before, '[0-9][0-9.,:/-]*') THEN 'unit'
+    WHEN regexp_matches(core, '^[A-ZÀ-ÖØ-Þ][a-zà-ÿ]') AND before IS NOT NULL AND line = line_before
+      AND NOT regexp_matches(before, '[.!?:;]$') THEN 'name' END AS kind
+  FROM placed),
+lists AS (
+  SELECT side, id, list(coalesce('<' || kind || '>', word) ORDER BY n) AS codes, list(word ORDER BY n) AS words,
+    list(kind IS NOT NULL ORDER BY n) AS slots, count(*) AS size FROM kinds GROUP BY side, id),
+widths AS (SELECT DISTINCT least(size, 8) AS width FROM lists WHERE side = 'b'),
+spots AS (
+  SELECT side, id, codes, words, slots, width, unnest(range(1, size - width + 2)) AS k
+  FROM lists, widths WHERE size >= width AND (side = 'd' OR width = least(size, 8))),
+cut AS (
+  SELECT side, id, width, k, array_to_string(codes[k : k + width - 1], chr(31)) AS code,
+    list_filter(words[k : k + width - 1], lambda x, j: slots[k + j - 1]) AS vals,
+    len(list_filter(slots[k : k + width - 1], lambda x: NOT x)) AS literals
+  FROM spots),
+good AS (SELECT * FROM cut WHERE literals >= CASE WHEN width = 8 THEN 4 ELSE least(3, width) END),
+totals AS (SELECT id, count(*) AS n_windows FROM good WHERE side = 'b' GROUP BY id),
+met AS (
+  SELECT d.id AS doc_id, b.id AS item_id, d.k - b.k AS shift, b.k, b.vals AS ours, d.vals AS theirs
+  FROM good d JOIN good b ON d.side = 'd' AND b.side = 'b' AND d.width = b.width AND d.code = b.code),
+pairs AS (
+  SELECT DISTINCT doc_id, item_id, shift, unnest(ours) AS o, unnest(theirs) AS t FROM met),
+odd AS (
+  SELECT doc_id, item_id, shift, bool_and(o = t) AS same, count(DISTINCT o) <> count(*) OR count(DISTINCT t) <> count(*) AS bad
+  FROM pairs GROUP BY ALL),
+steady AS (
+  SELECT m.doc_id, m.item_id, m.k, coalesce(o.same, TRUE) AS same FROM met m
+  LEFT JOIN odd o ON o.doc_id = m.doc_id AND o.item_id = m.item_id AND o.shift = m.shift WHERE NOT coalesce(o.bad, FALSE))
+SELECT doc_id, item_id, count(DISTINCT k) AS n_matched, n_windows,
+  count(DISTINCT k) FILTER (same) >= 0.5 * n_windows AS exact
+FROM steady JOIN totals ON id = item_id GROUP BY doc_id, item_id, n_windows
+HAVING count(DISTINCT k) >= 0.5 * n_windows
+"""
+
+
+@query("op1_template_decontam", OP1_SQL)
 def op1_template_decontam(spark: SparkSession, folder: str) -> DataFrame:
     return template_decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
