@@ -154,6 +154,32 @@ def test_secrets(spark, messy, empty):
     assert all(r.probability is None and not r.is_secret for r in forest_secrets.scan(messy).collect())
 
 
+def test_padded_short_and_letter_only_secrets_are_candidates(spark):
+    texts = [
+        ('token = "QWxhZGRpbjpvcGVuMTIz=="', "QWxhZGRpbjpvcGVuMTIz=="),
+        ("so QWxhZGRpbjpvcGVuMTIz== it is", "QWxhZGRpbjpvcGVuMTIz=="),
+        ('{"key":"QWxhZGRpbjpvcGVuMw=="}', "QWxhZGRpbjpvcGVuMw=="),
+        ("token=QWxhZGRpbjpvcGVuMTIz==,", "QWxhZGRpbjpvcGVuMTIz=="),
+        ('password = "correct-horse-battery"', "correct-horse-battery"),
+        ('password = "Abc12345"', "Abc12345"),
+        ("password=abc123", "abc123"),
+        ("with password: hunter then", "hunter"),
+        ("password : hunter then", "hunter"),
+        ('secret="AbCdEf"', "AbCdEf"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)] + [(99, "plain short words: of the text")], "doc_id long, text string")
+    got = {(r.doc_id, r.value) for r in forest_secrets.candidates(docs).collect()}
+    assert got >= {(i, v) for i, (_, v) in enumerate(texts)} and 99 not in {i for i, _ in got}
+
+
+def test_ordinary_words_are_no_secrets(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, f'password = "{"".join(rng.choice(list("abcdefghkmnp"), 9))}-{"".join(rng.choice(list("ABCDabcd1234"), 9))}" and') for i in range(120)]
+    rows += [(200 + i, f"an internationalization of understandings number {rng.integers(10**15, 10**16)}") for i in range(120)]
+    got = forest_secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.is_secret} == set(range(120)) and len(got) >= 480
+
+
 def test_native_operators_run_no_python(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for df in (mcd_outliers.verdicts(docs), forest_secrets.scan(docs)):

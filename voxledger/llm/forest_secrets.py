@@ -1,7 +1,9 @@
 """Secret scans: a random forest tells secrets from look-alikes, with DataFrame functions and Spark ML only.
 
-Candidates are words of at least ``least_chars`` bytes with a digit. Their value is what stands after an
-assignment sign, without quotes and punctuation around it. A candidate has features of these kinds:
+Candidates are words of at least ``least_chars`` bytes, words with an assignment in them, and words of any length
+after a key word or an assignment. Their value is what stands after an assignment sign (the padding of base64 is
+none), without quotes and punctuation around it; words without a value are no candidates. A candidate has features of
+these kinds:
 
 * length, and shares of digits, capitals, small letters and hexadecimal digits;
 * transitions between kinds of characters, for each character, and the number of distinct characters;
@@ -12,7 +14,8 @@ assignment sign, without quotes and punctuation around it. A candidate has featu
 The forest is trained on labelled findings, at most ``train_rows`` of them in order of a hash; a finding
 is a candidate with a label 0 or 1. Where nobody has labelled findings, :func:`labelled_by_format` labels those
 that are of a known kind: issued key formats and quoted or assigned credentials are secrets; card numbers,
-telephone numbers, addresses and mail addresses are none. All candidates of all texts are then scored,
+telephone numbers, addresses, mail addresses and ordinary words are none. Ordinary words are so many that they are a
+sample of their own, of at most ``word_rows``. All candidates of all texts are then scored,
 also those of no known kind.
 
 Candidates are found row by row; no text is shuffled and no group is formed. Null and empty texts have none.
@@ -42,32 +45,50 @@ DICTIONARY = (
 ).split()
 
 
+#: Name and sign of an assignment inside a word: a quoted name or a key word before a colon, or anything before an
+#: equals sign that more than padding and punctuation follows.
+ASSIGNMENT = rf"""^(?:[^=:]*["'`]:+|(?i:[^=:]*(?:{KEY_WORDS})[^=:]*):+(?!//)|[^=]*=+(?=[^<]*[\p{{L}}\p{{N}}]))"""
+ORDINARY = r"^\p{Lu}?\p{Ll}+([-'’]\p{Lu}?\p{Ll}+)*$"
+
+
 @dataclass(frozen=True)
 class Parameters:
     least_chars: int = 12
     train_rows: int = 20_000
+    word_rows: int = 5_000  # ordinary words, besides the findings
     trees: int = 40
     depth: int = 8
     buckets: int = 8  # of hashed previous words
     threshold: float = 0.5
 
 
+def _near() -> Column:
+    """The two words before and the name that the word itself assigns to, in lower case."""
+    return F.lower(F.concat_ws(" ", F.col("before2"), F.col("before"), F.regexp_extract("word", ASSIGNMENT, 0)))
+
+
 def candidates(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """(doc_id, pos, word, before2, before, after, value) of every candidate."""
     rows = docs.select("doc_id", blank_words(F.col("text")).alias("w"))
+
+    def named(i: Column) -> Column:
+        before, before2 = F.get("w", i - 1), F.get("w", i - 2)
+        key = before.rlike(f"(?i)=$|{KEY_WORDS}") | (before.isin(":", "is") & before2.rlike(f"(?i){KEY_WORDS}"))
+        return F.coalesce(key, F.lit(False))
+
     found = F.filter(
         F.transform(
             "w",
             lambda x, i: F.when(
-                (F.octet_length(x) >= p.least_chars) & x.rlike("[0-9]"),
+                (F.octet_length(x) >= p.least_chars) | (x.rlike("[=:]") & x.rlike(ASSIGNMENT)) | named(i),
                 F.struct(i.alias("pos"), x.alias("word"), F.get("w", i - 2).alias("before2"), F.get("w", i - 1).alias("before"), F.get("w", i + 1).alias("after")),
             ),
         ),
         lambda s: s.isNotNull(),
     )
     flat = rows.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
-    bare = F.regexp_replace(F.regexp_replace("word", r"^[^=]*[=]+", ""), r"^[^\p{L}\p{N}+/]+|[^\p{L}\p{N}=/]+$", "")
-    return flat.withColumn("value", bare).filter(F.octet_length("value") >= 8)
+    bare = F.regexp_replace(F.regexp_replace("word", ASSIGNMENT, ""), r"^[^\p{L}\p{N}+/]+|[^\p{L}\p{N}=/]+$", "")
+    return flat.withColumn("value", bare).filter(F.col("value").rlike(r"[\p{L}\p{N}]"))
 
 
 def features(found: DataFrame, p: Parameters = Parameters()) -> DataFrame:
@@ -81,7 +102,7 @@ def features(found: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     runs = F.char_length(F.regexp_replace(kinds, r"(.)\1+", "$1"))
     letters = F.regexp_replace(F.lower(v), r"[^\p{L}]", "")
     left = F.regexp_replace(letters, "|".join(sorted(DICTIONARY, key=lambda x: (-len(x), x))), "")
-    near = F.lower(F.concat_ws(" ", F.col("before2"), F.col("before"), F.regexp_extract("word", "^[^=]*=", 0)))
+    near = _near()
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     made = {
         "length": size,
@@ -97,7 +118,7 @@ def features(found: DataFrame, p: Parameters = Parameters()) -> DataFrame:
         "at": flag(v.contains("@")),
         "url": flag(F.lower(v).rlike(r"^[a-z]+:/|\.[a-z]{2,4}$")),
         "key_word": flag(near.rlike(KEY_WORDS)),
-        "assigned": flag(F.col("word").contains("=") | F.col("before").isin("=", ":", ":=") | F.col("before").rlike("[=:]$")),
+        "assigned": flag(F.col("word").rlike(ASSIGNMENT) | F.col("before").isin("=", ":", ":=") | F.col("before").rlike("[=:]$")),
         "quoted": flag(F.col("word").rlike("[\"'`]")),
         "next_digit": flag(F.col("after").rlike("[0-9]")),
         "before_digit": flag(F.col("before").rlike("[0-9]")),
@@ -110,15 +131,22 @@ def features(found: DataFrame, p: Parameters = Parameters()) -> DataFrame:
 def labelled_by_format(found: DataFrame) -> DataFrame:
     """Candidates of a known kind with column ``label``."""
     v = F.col("value")
-    near = F.lower(F.concat_ws(" ", F.col("before2"), F.col("before"), F.regexp_extract("word", "^[^=]*=", 0)))
+    credential = (F.octet_length(v) >= 6) & (v.rlike(r"[0-9]") | F.col("word").rlike("[\"'`]"))
     secret = v.rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^sk-[A-Za-z0-9_-]{20,}$|^xox[abp]-[A-Za-z0-9-]{10,}$") | (
-        near.rlike(KEY_WORDS) & (F.col("word").contains("=") | (F.col("before") == "=")) & v.rlike(r"[0-9]")
+        _near().rlike(KEY_WORDS) & (F.col("word").rlike(ASSIGNMENT) | (F.col("before") == "=")) & credential
     )
     harmless = v.rlike(r"^\d[\d.,:/ -]*$|^\+?[\d() -]{8,}$|^[^@\s]+@[^@\s]+\.[a-z]+$|^\d{1,3}(\.\d{1,3}){3}$|^https?://")
     label = F.when(secret, 1.0).when(harmless, 0.0)
     return found.withColumn("label", label).filter(F.col("label").isNotNull())
 
 
+def ordinary_words(found: DataFrame) -> DataFrame:
+    """Candidates that are words of small letters, neither assigned nor quoted, with column ``label`` 0."""
+    before = F.coalesce("before", F.lit(""))
+    given = F.col("word").rlike(ASSIGNMENT) | F.col("word").rlike("[\"'`]") | before.rlike("=$") | (before.rlike(":$") & _near().rlike(KEY_WORDS))
+    return found.filter(F.col("value").rlike(ORDINARY) & ~given).withColumn("label", F.lit(0.0))
+
+
 def scan(docs: DataFrame, findings: DataFrame | None = None, p: Parameters = Parameters()) -> DataFrame:
     """(doc_id, pos, n_chars, value_sha256, probability, is_secret): a row for each candidate.
 
@@ -132,7 +160,11 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, p: Parameters = Par
     else:
         known = features(findings, p).filter("label is not null")
     order = F.xxhash64("value", "doc_id", "pos"), F.col("doc_id"), F.col("pos")
-    train = stored(known.orderBy(*order).limit(p.train_rows).select("label", *names), "findings")
+    train = known.orderBy(*order).limit(p.train_rows).select("label", *names)
+    if findings is None:
+        plain = ordinary_words(found.filter(~held_out(F.col("doc_id"))))
+        train = train.union(plain.orderBy(*order).limit(p.word_rows).select("label", *names))
+    train = stored(train, "findings")
     kinds = [r["label"] for r in train.select("label").distinct().collect()]  # 0, 1
     digest = F.sha2("value", 256).alias("value_sha256")
     columns = ["doc_id", F.col("pos").cast("long").alias("pos"), F.char_length("value").cast("long").alias("n_chars"), digest]
