@@ -38,7 +38,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return template_decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return template_decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"), template_decontam.WHOLE)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

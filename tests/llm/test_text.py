@@ -111,6 +111,18 @@ def test_leaks_of_messy_and_empty_tables(messy, empty, benchmark):
     assert template_decontam.drop_leaks(messy, benchmark).count() == messy.count()
 
 
+def whole_leaks(spark, docs, items):
+    """(doc_id, item_id) pairs of the search for all windows."""
+    made = [spark.createDataFrame(rows, f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
+    return {(r.doc_id, r.item_id) for r in template_decontam.leaks(*made, template_decontam.WHOLE).collect()}
+
+
+def test_verbatim_copies_of_slot_dense_items(spark):
+    sums, names = "Solve 3 x 4 + 12 / 6 - 8 = ?", "List: Anna Bert Carla Dora Emil Fritz Gerd Hans Ida Jan"
+    docs = [(1, f"before\n{sums} after"), (2, f"so we {names}, too"), (3, "it is 7 8 9 here"), (4, "Solve 5 x 4 + 12 / 6 - 8 = ?"), (5, "it is 7 8 10 here"), (6, QUESTION)]
+    assert whole_leaks(spark, docs, [(1, sums), (2, names), (3, "7 8 9"), (4, QUESTION)]) == {(1, 1), (2, 2), (3, 3), (6, 4)}
+
+
 # Pieces
 
 

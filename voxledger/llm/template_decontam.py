@@ -19,6 +19,9 @@ unit after a number is a unit; a capital (A-Z, À-Ö, Ø-Þ) before a small lett
 begins a sentence or line. All else is compared in lower case, so shouted passages match, but for windows with names. Windows need
 ``literals`` words that are no placeholders. Items shorter than a window are one window, with at
 least ``short_literals``. Items without any such window, null and empty texts match nothing.
+
+With ``whole`` (``WHOLE``) windows with fewer literal words count too, and match where their words stand verbatim
+(case aside): questions dense in numbers and names are found when they are copied.
 """
 
 from __future__ import annotations
@@ -51,6 +54,10 @@ class Parameters:
     short_literals: int = 3
     share: float = 0.5
     bits_per_window: int = 512
+    whole: bool = False  # search for all windows, by the rules at the end of the module's text
+
+
+WHOLE = Parameters(whole=True)
 
 
 _PUNCTUATION = np.zeros(256, bool)
@@ -115,7 +122,17 @@ def templates(column: pa.Array) -> Template:
     return Template(code, value, slot, first)
 
 
-SCHEMA = "id long, width int, pos int, h long, slots array<long>"
+SCHEMA = "id long, width int, pos int, h long, slots array<long>, counts boolean"
+_VERBATIM = np.uint64(1 << 32)
+
+
+def _listed(t: Template, slot: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.ListArray:
+    """Slot values of the windows from ``a`` to ``b``."""
+    before = np.concatenate([[0], np.cumsum(slot)])
+    lo, sizes = before[a], before[b] - before[a]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    taken = t.value[np.flatnonzero(slot)[np.repeat(lo - offsets[:-1], sizes) + np.arange(offsets[-1])]].view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(taken, pa.int64()))
 
 
 def _windowed(p: Parameters, widths: list[int] | None, bits: np.ndarray | None):
@@ -132,30 +149,31 @@ def _windowed(p: Parameters, widths: list[int] | None, bits: np.ndarray | None):
                     text = np.repeat(np.arange(len(counts)), np.diff(bounds))
                     place = np.arange(len(h)) - bounds[text]
                     # A shorter text is no window of this width.
-                    ok = counts[text] >= width
+                    fits = counts[text] >= width
                     if widths is None and width < p.width:
-                        ok &= counts[text] == width
+                        fits &= counts[text] == width
                     a = t.first[text] + place
                     b = np.minimum(a + width, len(t.code))
                     literal = width - (slots_before[b] - slots_before[a])
-                    ok &= literal >= (p.literals if width == p.width else min(p.short_literals, width))
-                    h = mix(h + np.uint64(width))
-                    if bits is not None:
-                        ok &= passes(bits, h)
-                    hit = np.flatnonzero(ok)
-                    if not len(hit):
-                        continue
-                    lo, hi = slots_before[a[hit]], slots_before[b[hit]]
-                    where = np.flatnonzero(t.slot)
-                    sizes = hi - lo
-                    offsets = np.concatenate([[0], np.cumsum(sizes)])
-                    taken = t.value[where[np.repeat(lo - offsets[:-1], sizes) + np.arange(offsets[-1])]].view(np.int64)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(taken, pa.int64()))
-                    ids = batch.column("id").slice(at, len(column)).take(pa.array(text[hit]))
-                    yield pa.record_batch(
-                        [ids, pa.array(np.full(len(hit), width), pa.int32()), pa.array(place[hit], pa.int32()), pa.array(h[hit].view(np.int64)), lists],
-                        names=["id", "width", "pos", "h", "slots"],
-                    )
+                    rich = literal >= (p.literals if width == p.width else min(p.short_literals, width))
+                    readings = [(h + np.uint64(width), t.slot, fits & rich, True)]
+                    if p.whole:
+                        # The item decides which windows are compared word by word; those have no slots.
+                        plain = windows(t.value, t.first, width)[0] + np.uint64(width) + _VERBATIM
+                        readings.append((plain, np.zeros_like(t.slot), fits & ~rich if widths is None else fits, True))
+                    for h, slot, ok, new in readings:
+                        h = mix(h)
+                        if bits is not None:
+                            ok = ok & passes(bits, h)
+                        hit = np.flatnonzero(ok)
+                        if not len(hit):
+                            continue
+                        ids = batch.column("id").slice(at, len(column)).take(pa.array(text[hit]))
+                        lists = _listed(t, slot, a[hit], b[hit])
+                        yield pa.record_batch(
+                            [ids, pa.array(np.full(len(hit), width), pa.int32()), pa.array(place[hit], pa.int32()), pa.array(h[hit].view(np.int64)), lists, pa.array(np.full(len(hit), new))],
+                            names=["id", "width", "pos", "h", "slots", "counts"],
+                        )
 
     return run
 
@@ -171,7 +189,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Parameters = Parameters()) -
     stats = pieces.agg(F.count(F.lit(1)).alias("n"), F.collect_set("width").alias("w")).first()
     n, widths = stats["n"], sorted(stats["w"])  # widths: at most p.width numbers
     bits = docs.sparkSession.sparkContext.broadcast(bit_set(pieces, n, p.bits_per_window))
-    totals = pieces.groupBy(F.col("id").alias("i")).agg(F.count(F.lit(1)).alias("n_windows"))
+    totals = pieces.groupBy(F.col("id").alias("i")).agg(F.count_if("counts").alias("n_windows"))
     bench = pieces.join(totals, F.col("id").eqNullSafe(F.col("i"))).select(F.col("id").alias("item_id"), "h", F.col("pos").alias("b"), F.col("slots").alias("ours"), "n_windows")
 
     def run(batches):
