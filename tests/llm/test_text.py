@@ -123,6 +123,15 @@ def test_verbatim_copies_of_slot_dense_items(spark):
     assert whole_leaks(spark, docs, [(1, sums), (2, names), (3, "7 8 9"), (4, QUESTION)]) == {(1, 1), (2, 2), (3, 3), (6, 4)}
 
 
+def test_one_clash_costs_its_windows_only(spark):
+    tale = prose(78, 27).lower() + " with Bert beside all of the others " + prose(79, 18).lower() + " then Bert once more"
+    ask = "we have 3 big red boxes with some 4 small green balls inside of them and then we take out all of those that are blue or white"
+    twice = ask.replace("4 small", "3 small")
+    docs = [(1, "so " + tale.replace("Bert once", "Dora once")), (2, "so " + ask.replace("3", "5").replace("4", "5")), (3, "so " + twice.replace("3 big", "4 big").replace("3 small", "5 small")), (4, prose(80, 60))]
+    assert whole_leaks(spark, docs, [(1, "so " + tale), (2, "so " + ask), (3, "so " + twice)]) >= {(1, 1), (2, 2), (3, 3)}
+    assert not any(d == 4 for d, _ in whole_leaks(spark, docs, [(1, tale), (2, ask)]))
+
+
 # Pieces
 
 

@@ -21,11 +21,14 @@ begins a sentence or line. All else is compared in lower case, so shouted passag
 least ``short_literals``. Items without any such window, null and empty texts match nothing.
 
 With ``whole`` (``WHOLE``) windows with fewer literal words count too, and match where their words stand verbatim
-(case aside): questions dense in numbers and names are found when they are copied.
+(case aside): questions dense in numbers and names are found when they are copied. An alignment with clashing slots
+keeps a one-to-one map of the pairs that most of its windows hold, and loses only windows with other pairs; windows whose
+slots all hold the item's own values always count.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxledger.llm.bitset import bit_set, passes
 from voxledger.llm.bytetext import mix, slices, span_hash, windows, words
@@ -178,6 +182,51 @@ def _windowed(p: Parameters, widths: list[int] | None, bits: np.ndarray | None):
     return run
 
 
+@F.udf(T.ArrayType(T.StructType([T.StructField("b", T.IntegerType()), T.StructField("same", T.BooleanType())])))
+def _settled(found):
+    """Windows of an alignment with clashing slots that agree with the map of its most frequent pairs."""
+    if found is None:
+        return None
+    count = Counter((x.ours, x.theirs) for w in found for x in w.slots)
+    to, back = {}, set()
+    for ours, theirs in sorted(count, key=lambda x: (-count[x], x[0] != x[1], x)):
+        if ours not in to and theirs not in back:
+            to[ours] = theirs
+            back.add(theirs)
+    out = []
+    for w in found:
+        same = all(x.ours == x.theirs for x in w.slots)
+        if same or all(to.get(x.ours) == x.theirs for x in w.slots):
+            out.append((w.b, same))
+    return out
+
+
+def _covered(joined: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_windows, same, b): windows that count, where clashes cost only the windows that hold them."""
+    window = F.struct(F.col("b").alias("b"), F.arrays_zip("ours", "theirs").alias("slots"))
+    aligned = joined.groupBy("doc_id", "item_id", "n_windows", (F.col("d") - F.col("b")).alias("shift")).agg(F.collect_set(window).alias("found"))
+    pairs = F.array_distinct(F.flatten(F.transform("found", lambda x: x["slots"])))
+    aligned = aligned.withColumn("pairs", pairs)
+    size = F.array_size("pairs")
+    steady = (F.array_size(F.array_distinct(F.col("pairs.ours"))) == size) & (F.array_size(F.array_distinct(F.col("pairs.theirs"))) == size)
+    plain = F.transform("found", lambda x: F.struct(x["b"].alias("b"), F.forall(x["slots"], lambda y: y["ours"] == y["theirs"]).alias("same")))
+    aligned = aligned.withColumn("clashing", _settled(F.when(~steady, F.col("found"))))
+    counted = aligned.select("doc_id", "item_id", "n_windows", F.explode(F.coalesce("clashing", plain)).alias("w"))
+    return counted.select("doc_id", "item_id", "n_windows", F.col("w.same").alias("same"), F.col("w.b").alias("b"))
+
+
+def _covered_whole_alignments(joined: DataFrame) -> DataFrame:
+    """The same, where one clash costs all windows of the alignment."""
+    aligned = joined.groupBy("doc_id", "item_id", "n_windows", (F.col("d") - F.col("b")).alias("shift")).agg(
+        F.collect_set("b").alias("at"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("ours", "theirs")))).alias("pairs")
+    )
+    ours, theirs = F.array_distinct(F.col("pairs.ours")), F.array_distinct(F.col("pairs.theirs"))
+    size = F.array_size("pairs")
+    steady = aligned.filter((F.array_size(ours) == size) & (F.array_size(theirs) == size))
+    same = F.forall("pairs", lambda x: x["ours"] == x["theirs"])
+    return steady.select("doc_id", "item_id", "n_windows", same.alias("same"), F.explode("at").alias("b"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows, exact): one row for each item that a document holds.
 
@@ -197,14 +246,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Parameters = Parameters()) -
 
     found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, SCHEMA)
     joined = found.select(F.col("id").alias("doc_id"), "h", (F.col("pos")).alias("d"), F.col("slots").alias("theirs")).join(bench, "h")
-    aligned = joined.groupBy("doc_id", "item_id", "n_windows", (F.col("d") - F.col("b")).alias("shift")).agg(
-        F.collect_set("b").alias("at"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("ours", "theirs")))).alias("pairs")
-    )
-    ours, theirs = F.array_distinct(F.col("pairs.ours")), F.array_distinct(F.col("pairs.theirs"))
-    size = F.array_size("pairs")
-    steady = aligned.filter((F.array_size(ours) == size) & (F.array_size(theirs) == size))
-    same = F.forall("pairs", lambda x: x["ours"] == x["theirs"])
-    covered = steady.select("doc_id", "item_id", "n_windows", same.alias("same"), F.explode("at").alias("b"))
+    covered = _covered(joined) if p.whole else _covered_whole_alignments(joined)
     pairs = covered.groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("b").alias("n_matched"), F.count_distinct(F.when(F.col("same"), F.col("b"))).alias("n_same"))
     return pairs.filter(F.col("n_matched") >= p.share * F.col("n_windows")).select("doc_id", "item_id", "n_matched", "n_windows", (F.col("n_same") >= p.share * F.col("n_windows")).alias("exact"))
 
