@@ -132,6 +132,13 @@ def test_one_clash_costs_its_windows_only(spark):
     assert not any(d == 4 for d, _ in whole_leaks(spark, docs, [(1, tale), (2, ask)]))
 
 
+def test_names_that_begin_sentences_are_placeholders(spark):
+    ask = "Tom has 3 apples. Ann gives him 5 more of them. Tom then eats 2 of all these. Ann takes 4 back from his bag. How many has Tom now?"
+    again = ask.replace("Tom", "Liam").replace("Ann", "Zoe").replace("3", "7").replace("2", "6")
+    other = "Sea was 3 miles. Sun made her 5 less than ours. Sea soon had 2 by any means. Sun left 4 out into her sky. Why does Sea now go?"
+    assert whole_leaks(spark, [(1, again), (2, "So now: " + again.replace(". ", ".\n")), (3, other), (4, again.upper()), (5, ask.upper())], [(1, ask)]) == {(1, 1), (2, 1), (5, 1)}
+
+
 # Pieces
 
 

@@ -23,7 +23,8 @@ least ``short_literals``. Items without any such window, null and empty texts ma
 With ``whole`` (``WHOLE``) windows with fewer literal words count too, and match where their words stand verbatim
 (case aside): questions dense in numbers and names are found when they are copied. An alignment with clashing slots
 keeps a one-to-one map of the pairs that most of its windows hold, and loses only windows with other pairs; windows whose
-slots all hold the item's own values always count.
+slots all hold the item's own values always count. Windows also have a second reading, in which capitalised words are
+names at the beginning of a sentence or line too; it counts for the item's window, whose first reading decides on literals.
 """
 
 from __future__ import annotations
@@ -76,6 +77,8 @@ class Template:
     value: np.ndarray  # hash of the word itself
     slot: np.ndarray  # is it a placeholder
     first: np.ndarray  # bounds of the texts
+    wide_code: np.ndarray  # the second reading: names also at the beginning of sentences
+    wide_slot: np.ndarray
 
 
 def templates(column: pa.Array) -> Template:
@@ -83,7 +86,7 @@ def templates(column: pa.Array) -> Template:
     n = len(w.data)
     if not len(w.start):
         empty = np.zeros(0, np.uint64)
-        return Template(empty, empty, np.zeros(0, bool), np.zeros(len(column) + 1, np.int64))
+        return Template(empty, empty, np.zeros(0, bool), np.zeros(len(column) + 1, np.int64), empty, np.zeros(0, bool))
     place = np.arange(n)
     solid = ~_PUNCTUATION[w.data]
     after = np.minimum.accumulate(np.where(solid, place, n)[::-1])[::-1]
@@ -93,7 +96,8 @@ def templates(column: pa.Array) -> Template:
     start, end, text = start[real], end[real], w.text[real]
     first = np.searchsorted(text, np.arange(len(column) + 1))
     if not len(start):
-        return Template(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), first)
+        empty = np.zeros(0, np.uint64)
+        return Template(empty, empty, np.zeros(0, bool), first, empty, np.zeros(0, bool))
     # Capitals: one byte, or the second byte after 0xC3.
     wide = np.zeros(n, bool)
     wide[1:] = w.data[:-1] == 0xC3
@@ -113,7 +117,8 @@ def templates(column: pa.Array) -> Template:
     numeric = np.concatenate([[0], np.cumsum(_NUMERIC[w.data])])
     digit = (lead >= 48) & (lead <= 57)
     number = digit & (numeric[end] - numeric[start] == end - start)
-    name = capital[head] & small[second] & (second < end) & ~begins
+    capitalised = capital[head] & small[second] & (second < end)
+    name = capitalised & ~begins
     units = np.array(UNITS, dtype=object)
     unit_data = np.frombuffer("".join(units).encode(), np.uint8)
     unit_end = np.cumsum([len(u) for u in units])
@@ -121,9 +126,12 @@ def templates(column: pa.Array) -> Template:
     follows = np.zeros(len(start), bool)
     follows[1:] = number[:-1] & (text[1:] == text[:-1])
     kind = np.select([number, digit, known & follows, name], [NUMBER, QUANTITY, UNIT, NAME], 0)
-    slot = kind > 0
-    code = np.where(slot, mix(kind.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), value)
-    return Template(code, value, slot, first)
+    wide = np.where((kind == 0) & capitalised, NAME, kind)
+
+    def codes(kind: np.ndarray) -> np.ndarray:
+        return np.where(kind > 0, mix(kind.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), value)
+
+    return Template(codes(kind), value, kind > 0, first, codes(wide), wide > 0)
 
 
 SCHEMA = "id long, width int, pos int, h long, slots array<long>, counts boolean"
@@ -162,6 +170,10 @@ def _windowed(p: Parameters, widths: list[int] | None, bits: np.ndarray | None):
                     rich = literal >= (p.literals if width == p.width else min(p.short_literals, width))
                     readings = [(h + np.uint64(width), t.slot, fits & rich, True)]
                     if p.whole:
+                        # Documents have both readings of all windows, so the item's literals decide.
+                        ok = fits & rich if widths is None else fits
+                        second = windows(t.wide_code, t.first, width)[0]
+                        readings = [(h + np.uint64(width), t.slot, ok, True), (second + np.uint64(width), t.wide_slot, ok & (second != h), False)]
                         # The item decides which windows are compared word by word; those have no slots.
                         plain = windows(t.value, t.first, width)[0] + np.uint64(width) + _VERBATIM
                         readings.append((plain, np.zeros_like(t.slot), fits & ~rich if widths is None else fits, True))
