@@ -81,6 +81,21 @@ def test_negative_clean_risk_goes_back():
     assert score[:30].min() > 0 > score[30:].max()
 
 
+def toxic_rows(n, rare=0):
+    """Texts of ten words in a row of kinds: ``rare`` of a rare toxic kind, a tenth of a common one, clean ones."""
+    rng = np.random.default_rng(5)
+    kinds = np.repeat([2, 1, 0], [rare, n // 10, n - n // 10 - rare])
+    texts = [" ".join([*(f"w{k}" for k in rng.integers(0, 300, 9)), ("fine", "awful", "vile")[kind]]) for kind in kinds]
+    return kinds, pu_toxicity.Sparse(*pu_toxicity.features(pa.array(texts), pu_toxicity.Parameters()))
+
+
+def test_rare_kinds_of_toxic_text_are_learned():
+    kinds, rows = toxic_rows(6000, rare=8)
+    model = pu_toxicity.train(rows.take(np.flatnonzero(kinds)), rows, float((kinds > 0).mean()), pu_toxicity.Parameters())
+    score = rows.dot(model.weights) + model.bias
+    assert score[kinds == 2].min() > np.quantile(score[kinds == 0], 0.999)
+
+
 def brute_mcd(rows, p):
     """The same estimates by numpy, a group at a time."""
     d = mcd_outliers.DIMENSIONS

@@ -34,8 +34,9 @@ class Parameters:
     beginnings: tuple[int, ...] = (5, 7)  # bytes of word beginnings
     confirmed_rows: int = 4_000  # bound of the sample of confirmed examples
     unlabelled_rows: int = 12_000  # bound of the sample of texts with hidden labels
-    least_share: float = 0.0017  # features in fewer texts of the sample are left out
-    most_share: float = 0.2  # and those in more
+    least_share: float = 0.0017  # features in fewer unlabelled texts of the sample are left out,
+    least_confirmed: int = 3  # unless so many confirmed texts have them
+    most_share: float = 0.2  # and those in more unlabelled texts
     epochs: int = 20
     batch: int = 1_000
     rate: float = 0.02
@@ -93,7 +94,8 @@ def train(confirmed: Sparse, unlabelled: Sparse, prior: float, p: Parameters) ->
     n_u, n_p = len(unlabelled.bounds) - 1, len(confirmed.bounds) - 1
     size = 1 << p.bits
     df = np.bincount(unlabelled.index, minlength=size)
-    used = (df >= max(3, p.least_share * n_u)) & (df <= p.most_share * n_u)
+    df_confirmed = np.bincount(confirmed.index, minlength=size)
+    used = ((df >= max(3, p.least_share * n_u)) | (df_confirmed >= p.least_confirmed)) & (df <= p.most_share * n_u)
     keep = np.flatnonzero(used)
     place = np.full(size, -1, np.int32)
     place[keep] = np.arange(len(keep))
