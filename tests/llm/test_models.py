@@ -96,6 +96,16 @@ def test_rare_kinds_of_toxic_text_are_learned():
     assert score[kinds == 2].min() > np.quantile(score[kinds == 0], 0.999)
 
 
+@pytest.mark.parametrize("n", [300, 4000, 4001, 9000])
+def test_steps_do_not_depend_on_the_number_of_rows(n, monkeypatch):
+    kinds, rows = toxic_rows(n)
+    steps = []
+    back = pu_toxicity.Sparse.back
+    monkeypatch.setattr(pu_toxicity.Sparse, "back", lambda self, *a: steps.append(1) or back(self, *a))
+    pu_toxicity.train(rows.take(np.flatnonzero(kinds)), rows, 0.1, pu_toxicity.Parameters())
+    assert len(steps) == 2 * 240  # both samples, each step
+
+
 def brute_mcd(rows, p):
     """The same estimates by numpy, a group at a time."""
     d = mcd_outliers.DIMENSIONS

@@ -7,7 +7,7 @@ batch makes this difference negative, the step goes back (Adam on ``-gradient``)
 cannot drive it below zero. Logistic loss.
 
 Both samples are bounded by documented parameters and taken in order of a hash of the id; the prior
-is the share over all rows that may be learned from. Scoring covers every whole text. Weights are
+is the share over all rows that may be learned from. Samples of any size are trained on for the same number of steps. Scoring covers every whole text. Weights are
 one array of fixed size.
 
 Null and empty texts have no features and get the score of the bias. Without a confirmed example or
@@ -37,7 +37,7 @@ class Parameters:
     least_share: float = 0.0017  # features in fewer unlabelled texts of the sample are left out,
     least_confirmed: int = 3  # unless so many confirmed texts have them
     most_share: float = 0.2  # and those in more unlabelled texts
-    epochs: int = 20
+    epochs: int = 20  # of a full unlabelled sample; smaller samples take as many steps
     batch: int = 1_000
     rate: float = 0.02
     decay: float = 1e-3
@@ -110,11 +110,11 @@ def train(confirmed: Sparse, unlabelled: Sparse, prior: float, p: Parameters) ->
     x = np.zeros(len(keep) + 1)  # the last is the bias
     m, v = np.zeros_like(x), np.zeros_like(x)
     steps = max(1, -(-n_u // p.batch))
-    t = 0
-    for _ in range(p.epochs if n_u > 4 * p.batch else 4 * p.epochs):
+    t, last = 0, p.epochs * -(-p.unlabelled_rows // p.batch)
+    while t < last:
         deal_u = np.array_split(rng.permutation(n_u), steps)
         deal_p = np.array_split(np.resize(rng.permutation(n_p), max(n_p, steps)), steps)
-        for rows_u, rows_p in zip(deal_u, deal_p, strict=True):
+        for rows_u, rows_p in list(zip(deal_u, deal_p, strict=True))[: last - t]:
             a, b = confirmed.take(rows_p), unlabelled.take(rows_u)
             z_p, z_u = a.dot(x[:-1]) + x[-1], b.dot(x[:-1]) + x[-1]
             s_p, s_u = _sigmoid(z_p), _sigmoid(z_u)
