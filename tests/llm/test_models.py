@@ -155,6 +155,25 @@ def test_outliers_against_numpy(spark):
     assert judged > 300
 
 
+def test_small_groups_take_a_wider_estimate(spark):
+    """Every document in a group of its own; one language has rows enough, the other has not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 300").withColumn("source", F.col("doc_id").cast("string"))
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") < 10, "xx").otherwise("yy"))
+    p = mcd_outliers.Parameters(wider=True)
+    counted = mcd_outliers.statistics(docs).select("doc_id", "n_words", "n_repeat_words", "lang", mcd_outliers.base_failed().alias("failed"), *[x.alias(n) for x, n in zip(mcd_outliers.vector(), mcd_outliers.X, strict=True)]).collect()
+    passed = [r.asDict() for r in counted if not r.failed]
+    found = brute_mcd([r | {"g": g} for r in passed for g in ("*", r["lang"])], p)
+    assert set(found) == {"*", "yy"}
+    got = {r.doc_id: r for r in mcd_outliers.verdicts(docs, p).collect()}
+    assert len(got) == len(counted)
+    for r in passed:
+        center, low, limit = found["yy" if r["lang"] == "yy" else "*"]
+        d = (np.linalg.solve(low, np.array([r[n] for n in mcd_outliers.X]) - center) ** 2).sum() / limit
+        assert got[r["doc_id"]].distance == pytest.approx(d, rel=1e-6) and got[r["doc_id"]].kept == (d <= 1)
+    assert any(not got[r["doc_id"]].kept for r in passed)
+    assert mcd_outliers.verdicts(docs.limit(3), p).filter("not base_failed and distance is null").count() == 0 == mcd_outliers.verdicts(docs.limit(0), p).count()
+
+
 def test_counts_of_messy_rows(messy, empty):
     got = {(r.doc_id, r.n_words): r for r in mcd_outliers.verdicts(messy).collect()}
     assert mcd_outliers.verdicts(messy).count() == messy.count() and mcd_outliers.verdicts(empty).count() == 0

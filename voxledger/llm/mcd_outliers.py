@@ -16,7 +16,8 @@ aggregates count. The vectors are joined with the group table, which grows with
 Spark picks the join by its size and can split a hot group.
 
 Rules: null texts have no words. A null lang or source is a group of its own. Groups with fewer than
-``least_rows`` rows have no verdict and keep what the base rules keep. Variances have floors
+``least_rows`` rows that pass the base rules have no verdict and keep what the base rules keep; with ``wider`` they are
+measured by the estimate of their language, or of all rows if the language has fewer as well. Variances have floors
 (``FLOORS``), so a statistic that is constant in a group rejects no row for a small difference. ``base_failed``: fewer than 50 words, or more than half of
 them in repeated windows of three.
 """
@@ -43,6 +44,7 @@ class Parameters:
     steps: int = 4
     cutoff: float = 45.0  # chi-squared, 5 degrees of freedom: 1.5e-8
     least_rows: int = 20
+    wider: bool = False  # small groups take the estimate of the next wider level
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -169,10 +171,10 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *sums, *squares)
 
 
-def estimates(rows: DataFrame, p: Parameters) -> DataFrame:
-    """(g, n, centers, triangle, limit) of every group with enough rows: all that a verdict needs."""
+def estimates(rows: DataFrame, p: Parameters, least: int | None = None) -> DataFrame:
+    """(g, n, centers, triangle, limit) of every group with ``least`` rows (``p.least_rows``): all that a verdict needs."""
     # Exact medians: the vectors have a bounded number of distinct steps.
-    center = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n_rows"), *[F.percentile(x, 0.5).alias(f"c{i}") for i, x in enumerate(X)]).filter(F.col("n_rows") >= p.least_rows)
+    center = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n_rows"), *[F.percentile(x, 0.5).alias(f"c{i}") for i, x in enumerate(X)]).filter(F.col("n_rows") >= (p.least_rows if least is None else least))
     center = stored(center, "medians")
     away = rows.join(center.withColumnRenamed("g", "__g"), F.col("g") == F.col("__g"))
     spread = away.groupBy("g").agg(*[F.percentile(F.abs(F.col(x) - F.col(f"c{i}")), 0.5).alias(f"d{i}") for i, x in enumerate(X)])
@@ -191,6 +193,23 @@ def estimates(rows: DataFrame, p: Parameters) -> DataFrame:
     return groups.join(middle.select("g", limit.alias("limit")), "g")
 
 
+def _wider(rows: DataFrame, p: Parameters) -> DataFrame | None:
+    """The estimates of small groups, those of their language ``k`` or of all rows; None if no group is small."""
+    counts = stored(rows.groupBy("g", "k").agg(F.count(F.lit(1)).alias("n")), "counts")
+    small = F.col("n") < p.least_rows
+    languages = counts.groupBy("k").agg(F.sum("n").alias("m"), F.max(small).alias("any_small")).filter("any_small")
+    languages = stored(languages.withColumn("enough", F.col("m") >= p.least_rows).select("k", "enough"), "languages")
+    kinds = {r["enough"] for r in languages.select("enough").distinct().collect()}
+    if not kinds:
+        return None
+    wide = rows.join(languages.filter("enough").select("k"), "k", "left_semi").withColumn("g", F.col("k")).select("g", *X)
+    if False in kinds:
+        wide = wide.union(rows.select(F.lit("*").alias("g"), *X))
+    found = estimates(wide, p, 1).withColumnRenamed("g", "level")
+    level = F.when(F.col("enough"), F.col("k")).otherwise(F.lit("*")).alias("level")
+    return counts.filter(small).join(languages, "k").select("g", level).join(found, "level").drop("level")
+
+
 def verdicts(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """(doc_id, n_words, the statistics, base_failed, kept, distance): a row for each row of ``docs``.
 
@@ -198,9 +217,15 @@ def verdicts(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """
     counted = statistics(docs.select("doc_id", "text", "lang", "source")).drop("text")
     group = F.to_json(F.struct(F.coalesce("lang", F.lit("\x00")).alias("a"), F.coalesce("source", F.lit("\x00")).alias("b")))
-    rows = counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", group.alias("g"), *[x.alias(n) for x, n in zip(vector(), X, strict=True)])
+    language = F.to_json(F.struct(F.coalesce("lang", F.lit("\x00")).alias("a")))
+    rows = counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", group.alias("g"), language.alias("k"), *[x.alias(n) for x, n in zip(vector(), X, strict=True)])
     rows = stored(rows, "statistics")
-    found = estimates(rows.filter(~base_failed()), p).withColumnRenamed("g", "__g")
+    passed = rows.filter(~base_failed())
+    found = estimates(passed, p)
+    small = _wider(passed, p) if p.wider else None
+    if small is not None:
+        found = found.unionByName(small)
+    found = found.withColumnRenamed("g", "__g")
     joined = rows.join(found, F.col("g") == F.col("__g"), "left")
     triangle = [[F.col(f"l{i}{j}") for j in range(i + 1)] for i in range(DIMENSIONS)]
     distance = _distance(triangle, [F.col(f"c{i}") for i in range(DIMENSIONS)]) / F.col("limit")

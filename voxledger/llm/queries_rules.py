@@ -11,7 +11,7 @@ from voxledger.plans.registry import query
 
 @query("op5_mcd_outliers")
 def op5_mcd_outliers(spark: SparkSession, folder: str) -> DataFrame:
-    return mcd_outliers.verdicts(table(spark, folder, "documents"))
+    return mcd_outliers.verdicts(table(spark, folder, "documents"), mcd_outliers.Parameters(wider=True))
 
 
 @query("op6_forest_secrets")
