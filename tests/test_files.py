@@ -80,7 +80,7 @@ def test_other_sinks(spark, rows, tmp_path):
     writers.write_csv(df.select("k", "t"), f"{tmp_path}/csv")
     schema = T.StructType().add("k", T.StringType()).add("t", T.StringType())
     assert rows(readers.read_csv(spark, f"{tmp_path}/csv", schema)) == [("a", 'x "q", y'), ("b", None)]
-    writers.write_partitioned(df, f"{tmp_path}/parts", "region", files_per_value=2)
+    writers.write_partitioned(df, f"{tmp_path}/parts", "region", gather=True)
     assert rows(spark.read.json(f"{tmp_path}/parts"), "k", "region") == [("a", "r1"), ("b", "r2")]
     writers.write_text(df, "t", f"{tmp_path}/text")
     assert rows(spark.read.text(f"{tmp_path}/text")) == [("",), ('x "q", y',)]
