@@ -11,7 +11,8 @@ these kinds:
 * path signs: slashes, dots, at signs, and a scheme or file name ending;
 * the words before and after: key words, assignment, quotes, and hashed previous words.
 
-The forest is trained on labelled findings, at most ``train_rows`` of them in order of a hash; a finding
+The forest is trained on labelled findings, at most ``train_rows`` of each label in order of a hash, so a rare label is
+never lost among the other; both labels weigh the same. A finding
 is a candidate with a label 0 or 1. Where nobody has labelled findings, :func:`labelled_by_format` labels those
 that are of a known kind: issued key formats and quoted or assigned credentials are secrets; card numbers,
 telephone numbers, addresses, mail addresses and ordinary words are none. Ordinary words are so many that they are a
@@ -26,6 +27,7 @@ findings it is null.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -46,16 +48,23 @@ DICTIONARY = (
 
 
 #: Name and sign of an assignment inside a word: a quoted name or a key word before a colon, or anything before an
-#: equals sign that more than padding and punctuation follows.
-ASSIGNMENT = rf"""^(?:[^=:]*["'`]:+|(?i:[^=:]*(?:{KEY_WORDS})[^=:]*):+(?!//)|[^=]*=+(?=[^<]*[\p{{L}}\p{{N}}]))"""
-ORDINARY = r"^\p{Lu}?\p{Ll}+([-'’]\p{Lu}?\p{Ll}+)*$"
+#: equals sign that more than padding and punctuation follows. All repeats are possessive, so a word of any length is
+#: read once and nothing is put on a stack.
+ASSIGNMENT = (
+    rf"""^(?:[^=:]*+(?<=["'`]):++|(?i:(?:(?!{KEY_WORDS})[^=:])*+(?:{KEY_WORDS})[^=:]*+:++)(?!//)"""
+    r"""|[^=]*+=++(?=[^<\p{L}\p{N}]*+[\p{L}\p{N}]))"""
+)
+ORDINARY = r"^\p{Lu}?+\p{Ll}++(?:[-'’]\p{Lu}?+\p{Ll}++)*+$"
+#: What is no part of a value, at its beginning and end.
+AROUND = r"^[^\p{L}\p{N}+/]++|(?<![^\p{L}\p{N}=/])[^\p{L}\p{N}=/]++$"
 
 
 @dataclass(frozen=True)
 class Parameters:
     least_chars: int = 12
-    train_rows: int = 20_000
+    train_rows: int = 10_000  # findings of each label
     word_rows: int = 5_000  # ordinary words, besides the findings
+    least_copies: int = 100  # a label with fewer findings is repeated up to so many rows, so that every tree sees it
     trees: int = 40
     depth: int = 8
     buckets: int = 8  # of hashed previous words
@@ -87,7 +96,7 @@ def candidates(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
         lambda s: s.isNotNull(),
     )
     flat = rows.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
-    bare = F.regexp_replace(F.regexp_replace("word", ASSIGNMENT, ""), r"^[^\p{L}\p{N}+/]+|[^\p{L}\p{N}=/]+$", "")
+    bare = F.regexp_replace(F.regexp_replace("word", ASSIGNMENT, ""), AROUND, "")
     return flat.withColumn("value", bare).filter(F.col("value").rlike(r"[\p{L}\p{N}]"))
 
 
@@ -160,19 +169,24 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, p: Parameters = Par
     else:
         known = features(findings, p).filter("label is not null")
     order = F.xxhash64("value", "doc_id", "pos"), F.col("doc_id"), F.col("pos")
-    train = known.orderBy(*order).limit(p.train_rows).select("label", *names)
+    parts = [known.filter(F.col("label") == y).orderBy(*order).limit(p.train_rows).select("label", *names) for y in (1.0, 0.0)]
     if findings is None:
         plain = ordinary_words(found.filter(~held_out(F.col("doc_id"))))
-        train = train.union(plain.orderBy(*order).limit(p.word_rows).select("label", *names))
-    train = stored(train, "findings")
-    kinds = [r["label"] for r in train.select("label").distinct().collect()]  # 0, 1
+        parts.append(plain.orderBy(*order).limit(p.word_rows).select("label", *names))
+    train = stored(reduce(DataFrame.union, parts), "findings")
+    sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}  # 0, 1
+    kinds = list(sizes)
     digest = F.sha2("value", 256).alias("value_sha256")
     columns = ["doc_id", F.col("pos").cast("long").alias("pos"), F.char_length("value").cast("long").alias("n_chars"), digest]
     if len(kinds) < 2:
         only = F.lit(float(kinds[0]) if kinds else None).cast("double")
         return found.select(*columns, only.alias("probability"), F.coalesce(only >= p.threshold, F.lit(False)).alias("is_secret"))
+    copies = {y: -(-p.least_copies // n) for y, n in sizes.items()}
+    of = F.when(F.col("label") == 1.0, F.lit(copies[1.0])).otherwise(F.lit(copies[0.0]))
+    weight = F.when(F.col("label") == 1.0, F.lit(1 / sizes[1.0])).otherwise(F.lit(1 / sizes[0.0])) * sum(sizes.values()) / of
+    train = train.withColumn("weight", weight).withColumn("copy", F.explode(F.sequence(F.lit(1), of)))
     put = VectorAssembler(inputCols=names, outputCol="vector")
-    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=p.trees, maxDepth=p.depth, seed=11, featureSubsetStrategy="sqrt")
+    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=p.trees, maxDepth=p.depth, seed=11, featureSubsetStrategy="sqrt")
     model = forest.fit(put.transform(train))
     scored = model.transform(put.transform(found)).withColumn("probability", vector_to_array("probability")[1])
     return scored.select(*columns, "probability", (F.col("probability") >= p.threshold).alias("is_secret"))
