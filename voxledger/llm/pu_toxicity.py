@@ -36,7 +36,8 @@ class Parameters:
     unlabelled_rows: int = 12_000  # bound of the sample of texts with hidden labels
     least_share: float = 0.0017  # features in fewer unlabelled texts of the sample are left out,
     least_confirmed: int = 3  # unless so many confirmed texts have them
-    most_share: float = 0.2  # and those in more unlabelled texts
+    most_share: float = 0.2  # features in more unlabelled texts are left out,
+    least_gap: float = 0.1  # unless their shares of confirmed and unlabelled texts differ so much
     epochs: int = 20  # of a full unlabelled sample; smaller samples take as many steps
     batch: int = 1_000
     rate: float = 0.02
@@ -95,7 +96,8 @@ def train(confirmed: Sparse, unlabelled: Sparse, prior: float, p: Parameters) ->
     size = 1 << p.bits
     df = np.bincount(unlabelled.index, minlength=size)
     df_confirmed = np.bincount(confirmed.index, minlength=size)
-    used = ((df >= max(3, p.least_share * n_u)) | (df_confirmed >= p.least_confirmed)) & (df <= p.most_share * n_u)
+    telling = np.abs(df_confirmed / n_p - df / n_u) >= p.least_gap
+    used = ((df >= max(3, p.least_share * n_u)) | (df_confirmed >= p.least_confirmed)) & ((df <= p.most_share * n_u) | telling)
     keep = np.flatnonzero(used)
     place = np.full(size, -1, np.int32)
     place[keep] = np.arange(len(keep))
@@ -152,7 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Mod
     hidden = open_rows.select("id").distinct().orderBy(*order).limit(p.unlabelled_rows)
     sample = confirmed.withColumn("part", F.lit(1)).union(hidden.withColumn("part", F.lit(0)))
     # Both limits bound the sample: at most 16,000 ids.
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("id", "part", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
+    # One text an id and sample, so rows that repeat an id don't pass the bounds.
+    texts = texts.groupBy("id", "part").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
