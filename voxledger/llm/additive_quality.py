@@ -243,10 +243,12 @@ def _measured(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Model:
     """Learn from ``labels`` (doc_id, quality): rows held out are never looked at."""
     open_rows = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("y")).filter("id is not null and y is not null")
-    sample = open_rows.filter(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id", "y").limit(p.rows)
+    sample = open_rows.filter(~held_out(F.col("id"))).distinct().orderBy(F.xxhash64("id"), "id", "y").limit(p.rows)
     # At most ``rows`` pairs of numbers.
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("id", "y", "text")
-    got = _measured(texts).toArrow().sort_by([("id", "ascending")])
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
+    # One text an id and label, so rows that repeat an id don't pass the bound.
+    texts = texts.groupBy("id", "y").agg(F.min("text").alias("text"))
+    got = _measured(texts).toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     x = np.array(got.column("x").to_pylist()).reshape(got.num_rows, len(FEATURES))
     return train(x, got.column("y").to_numpy().astype(float), p)
 
