@@ -9,7 +9,8 @@ lines; texts are touched again only where somebody applies it.
 
 Rules: a line's key is the line without blanks at both ends, with A-Z in lower case. Keys shorter
 than ``min_chars`` code points never count. Rows of one id are one document. A null or
-empty text is one empty line. Null ids count as one document that comes after all others.
+empty text is one empty line; very long texts are cut like others. Null ids count as one document that comes after all
+others. Rows that repeat an id are one document: none of them loses a line to another. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxledger.llm.tables import BLANKS, LOWER, UPPER, stored
+from voxledger.llm.tables import BLANKS, LOWER, UPPER, free_names, stored
 
 MIN_CHARS = 10
 
@@ -123,15 +124,16 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return grouped.mapInArrow(packed, "doc long, mark long, n_dropped long, top int, bitmap binary")
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with their texts cut, plus n_lines and n_dropped; other columns stay as they are.
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, counts: bool = True) -> DataFrame:
+    """``docs`` with their texts cut; all other columns stay as they are.
 
-    A text that loses no line stays as it is, null included.
+    With ``counts`` there are two more columns, n_lines and n_dropped; where ``docs`` has a column of such a name, the count's
+    name gets an underscore at its end. A text that loses no line stays as it is, null included.
     """
-    own = "__mark", "__top", "__bitmap"
+    doc, mark, n, top, bitmap, n_lines, n_dropped = free_names(docs.columns, "_doc", "_mark", "_n", "_top", "_bitmap", "n_lines", "n_dropped")
     text = F.coalesce(F.col("text"), F.lit(""))
-    small = bitmaps.select(F.col("doc").alias("__doc"), F.col("mark").alias(own[0]), F.col("n_dropped").alias("__n"), F.col("top").alias(own[1]), F.col("bitmap").alias(own[2]))
-    joined = docs.join(small, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__mark")), "left")
+    small = bitmaps.select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("n_dropped").alias(n), F.col("top").alias(top), F.col("bitmap").alias(bitmap))
+    joined = docs.join(small, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(mark)), "left")
 
     @F.pandas_udf("string")
     def cut(texts, bitmap, top):
@@ -146,11 +148,12 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
         return pd.Series([one(*x) for x in zip(texts, bitmap, top, strict=True)], dtype=object)
 
-    kept = F.when(F.col("__bitmap").isNull(), F.col("text")).otherwise(cut(F.when(F.col("__bitmap").isNotNull(), F.col("text")), "__bitmap", F.coalesce("__top", F.lit(0))))
-    counts = joined.withColumns({"n_lines": F.array_size(F.split(text, "\n")).cast("long"), "n_dropped": F.coalesce("__n", F.lit(0)).cast("long")})
-    return counts.withColumn("text", kept).drop("__doc", "__n", *own)
+    kept = F.when(F.col(bitmap).isNull(), F.col("text")).otherwise(cut(F.when(F.col(bitmap).isNotNull(), F.col("text")), bitmap, F.coalesce(top, F.lit(0))))
+    added = {n_lines: F.array_size(F.split(text, "\n")).cast("long"), n_dropped: F.coalesce(n, F.lit(0)).cast("long")}
+    counted = joined.withColumns(added) if counts else joined
+    return counted.withColumn("text", kept).drop(doc, mark, n, top, bitmap)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, *, counts: bool = True) -> DataFrame:
     """The documents with all later copies of their lines removed."""
-    return apply_bitmaps(docs, keep_bitmaps(docs.select("doc_id", "text"), min_chars))
+    return apply_bitmaps(docs, keep_bitmaps(docs.select("doc_id", "text"), min_chars), counts=counts)

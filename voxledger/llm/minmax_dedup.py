@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from voxledger.llm.bitset import bit_set, passes
 from voxledger.llm.bytetext import mix, slices, windows, words
 from voxledger.llm.components import components
-from voxledger.llm.tables import stored
+from voxledger.llm.tables import free_names, stored
 
 
 @dataclass(frozen=True)
@@ -230,5 +230,6 @@ def near_classes(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """The documents without those that another document of their class stands for; columns stay as they are."""
-    gone = near_classes(docs, p).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    (dropped,) = free_names(docs.columns, "_dropped")
+    gone = near_classes(docs, p).filter(~F.col("kept")).select(F.col("doc_id").alias(dropped)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(dropped), "left_anti")

@@ -35,3 +35,14 @@ def held_out(doc_id: Column) -> Column:
 def blank_words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """``wanted`` with underscores added until no column has that name (names differ by more than case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out

@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from voxledger.llm.bitset import bit_set, passes
 from voxledger.llm.bytetext import mix, slices, span_hash, windows, words
-from voxledger.llm.tables import stored
+from voxledger.llm.tables import free_names, stored
 
 NUMBER, QUANTITY, UNIT, NAME = 1, 2, 3, 4
 
@@ -265,5 +265,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Parameters = Parameters()) -
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """The documents without those that leak an item; columns stay as they are."""
-    gone = leaks(docs, benchmark, p).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    (leaked,) = free_names(docs.columns, "_leaked")
+    gone = leaks(docs, benchmark, p).select(F.col("doc_id").alias(leaked)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(leaked)), "left_anti")
