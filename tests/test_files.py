@@ -1,10 +1,11 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxledger.operators import languages
+from voxledger.operators import languages, mixing
 from voxledger.schemas import LANGUAGE_INFO, result_record
 from voxledger.sources import readers, writers
 from voxledger.streaming import streams
@@ -106,10 +107,53 @@ def test_streams_equal_batch(spark, rows, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/out")) == rows(languages.map_language(data, "iso3"))
     totals = streams.file_stream(spark, f"{tmp_path}/in", data.schema, files_per_trigger=1).groupBy("language").count()
     streams.run_totals(totals, f"{tmp_path}/totals", f"{tmp_path}/s2")
-    assert rows(spark.read.parquet(f"{tmp_path}/totals")) == rows(data.groupBy("language").count())
+    assert rows(streams.read_totals(spark, f"{tmp_path}/totals")) == rows(data.groupBy("language").count())
     dim = spark.createDataFrame([(1, "one", 2), (1, "old", 1)], "k int, v string, p int")
     joined = streams.lookup_static(
         streams.file_stream(spark, f"{tmp_path}/in", data.schema), dim, "id", "k", "v", position="p", out="t"
     )
     streams.run_to_files(joined.filter("id < 3"), f"{tmp_path}/j", f"{tmp_path}/s3")
     assert rows(spark.read.parquet(f"{tmp_path}/j"), "id", "t") == [(0, ""), (1, "one"), (2, "")]
+
+
+def test_a_cap_holds_over_triggers_and_restarts(spark, rows, tmp_path):
+    table = [(i, ["a", "b", "c", None][i % 4], None if i % 5 == 0 else f"é{i}", 2**60 + i) for i in range(400)]
+    data = spark.createDataFrame(table, "id long, s string, t string, big long")
+    caps = {"a": 55, "b": 1_000, "c": None}
+    for k in range(4):
+        data.filter((F.col("id") >= 100 * k) & (F.col("id") < 100 * k + 100)).repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = streams.file_stream(spark, f"{tmp_path}/in", data.schema)
+        streams.run_capped(streams.cap_stream(stream, "s", caps, ["id"]), f"{tmp_path}/out", f"{tmp_path}/state")
+        so_far = data.filter(F.col("id") < 100 * k + 100)
+        assert rows(spark.read.parquet(f"{tmp_path}/out")) == rows(mixing.cap_per_source(so_far, "s", caps, ["id"]))
+    assert streams.cap_stream(data, "s", {"a": None}, ["id"]) is data
+
+
+def test_a_task_passes_on_the_first_rows_only():
+    batches = [pa.record_batch([pa.array(["a"] * 9_000), pa.array([(i * 7919 + k) % 50_021 if i % 100 else None for i in range(9_000)])], names=["s", "k"]) for k in range(6)]
+    out = pa.Table.from_batches(streams._first_of_task("s", {"a": 700}, ["k"])(iter(batches)))
+    every = sorted((v is not None, v or 0) for b in batches for v in b.column("k").to_pylist())
+    assert [(v is not None, v or 0) for v in out.column("k").to_pylist()] == every[:700]
+
+
+def test_totals_that_die_half_way_are_replayed(spark, rows, tmp_path):
+    path = f"{tmp_path}/totals"
+    first, second = (spark.createDataFrame([("a", n)], "k string, n long") for n in (1, 2))
+    with pytest.raises(FileNotFoundError):
+        streams.read_totals(spark, path)
+    streams.store_totals(first, path, 0)
+    # Dead in the middle of writing: files without the mark of a whole version.
+    second.write.parquet(f"{path}/v{1:019d}")
+    (tmp_path / "totals" / f"v{1:019d}" / "_SUCCESS").unlink()
+    assert rows(streams.read_totals(spark, path)) == [("a", 1)]
+    # Dead before the pointer was renamed: the version before counts.
+    second.write.mode("overwrite").parquet(f"{path}/v{1:019d}")
+    assert rows(streams.read_totals(spark, path)) == [("a", 1)]
+    for _ in range(2):  # the batch is replayed
+        streams.store_totals(second, path, 1)
+        assert rows(streams.read_totals(spark, path)) == [("a", 2)]
+    for k in (2, 3):
+        streams.store_totals(first, path, k)
+    assert streams._versions(spark, path) == [f"v{k:019d}" for k in (2, 3)]
+    (tmp_path / "totals" / streams.POINTER).unlink()  # a rename under way on a file system without atomic renames
+    assert rows(streams.read_totals(spark, path)) == [("a", 1)]

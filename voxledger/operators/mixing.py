@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from voxledger.functions import text
 from voxledger.operators.ordering import with_ordinal
 
+#: Runs of positions in :func:`repeat_to_n`: so many, or more of at most this length.
+RUNS, RUN = 256, 100_000
+
 
 def interleave(
     df: DataFrame, source: str, sources: Sequence, order: Sequence[str], *, out: str = "mix_pos"
@@ -23,7 +26,7 @@ def interleave(
     listed = df.filter(F.col(source).isin(list(sources)))
     numbered = with_ordinal(listed, order, (source,), "_round").withColumn("_index", index)
 
-    sizes = numbered.groupBy("_index").agg((F.max("_round") + 1).alias("_size"))
+    sizes = listed.groupBy(index.alias("_index")).agg(F.count("*").alias("_size"))
     present = sizes.agg(
         F.min(F.struct("_size", "_index")).alias("_end"), F.collect_set("_index").alias("_seen")
     )  # at most one entry per listed source
@@ -50,13 +53,19 @@ def interleave_splits(
 def repeat_to_n(df: DataFrame, n: int | Column, order: Sequence[str], *, out: str = "repeat_pos") -> DataFrame:
     """Cycle through the table in order until ``n`` rows are produced."""
     spark = df.sparkSession
-    if isinstance(n, Column):
-        n = spark.range(1).select(n.cast("bigint").alias("n")).first()["n"]
+    n = (n if isinstance(n, Column) else F.lit(n)).cast("bigint")
     numbered = with_ordinal(df, order, out="_at")
-    size = numbered.agg(F.count("*").alias("n")).scalar()
-    # The positions are made in many tasks; each takes its row by the rest of its division.
-    places = spark.range(n).select(F.col("id").alias("_place"), (F.col("id") % size).alias("_of"))
-    return places.join(numbered, F.col("_of") == F.col("_at")).select(*df.columns, F.col("_place").alias(out))
+    size = df.agg(F.count("*").alias("n")).scalar()
+    # Runs of positions are dealt to many tasks, which list them; each takes its row by the rest of its division.
+    length = F.least(F.lit(RUN), F.ceil(F.col("_n") / RUNS)).cast("bigint")
+    runs = spark.range(1).select(n.alias("_n")).filter((F.col("_n") > 0) & (size > 0)).withColumn("_length", length)
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.col("_length")))
+    runs = runs.select("_n", "_length", starts.alias("_start")).repartition("_start")
+    ends = F.least(F.col("_n"), F.col("_start") + F.col("_length")) - 1
+    places = runs.select(F.explode(F.sequence("_start", ends)).alias("_place"))
+    places = places.withColumn("_of", F.col("_place") % size)
+    # Every place has its row; as a left join it is the places that stay spread over tasks.
+    return places.join(numbered, F.col("_of") == F.col("_at"), "left").select(*df.columns, F.col("_place").alias(out))
 
 
 def cap_per_source(

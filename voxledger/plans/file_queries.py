@@ -205,8 +205,8 @@ def stream_normalize(spark, d):
     "SELECT doc_id, coalesce('quality ' || quality, '') AS translation FROM documents LEFT JOIN labels USING (doc_id)",
 )
 def stream_lookup(spark, d):
-    out, state = scratch_path(spark, "stream-lookup"), scratch_path(spark, "state")
     """Every key stands twice in the dimension; its later row counts."""
+    out, state = scratch_path(spark, "stream-lookup"), scratch_path(spark, "state")
     labels = table(spark, d, "labels")
     later = labels.select(F.col("doc_id").alias("codes"), F.concat(F.lit("quality "), "quality").alias("transcript"), F.lit(2).alias("pos"))
     dim = later.unionByName(labels.select(F.col("doc_id").alias("codes"), F.lit("outdated").alias("transcript"), F.lit(1).alias("pos")))
@@ -224,4 +224,24 @@ def stream_totals(spark, d):
     out, state = scratch_path(spark, "stream-totals"), scratch_path(spark, "state")
     docs = _stream(spark, d, "documents").select(F.col("lang").alias("language"), text.word_count("text").alias("n"))
     streams.run_totals(docs.groupBy("language").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_words")), out, state)
+    return streams.read_totals(spark, out)
+
+
+STREAM_CAPS = {"en": 400, "de": 40, "es": 100_000, "fr": None}
+
+
+@query(
+    "stream_cap",
+    f"""SELECT doc_id, lang AS language FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id)
+    <= CASE lang {" ".join(f"WHEN '{k}' THEN {v}" for k, v in STREAM_CAPS.items() if v is not None)} ELSE 9223372036854775807 END""",
+)
+def stream_cap(spark, d):
+    """The lower half of the documents, a restart, then the upper half: as many rows of a source as a batch cap gives."""
+    base, out, state = (scratch_path(spark, name) for name in ("stream-cap-in", "stream-cap", "state"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("language"))
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5)).scalar()
+    for half in (F.col("doc_id") <= middle, F.col("doc_id") > middle):
+        docs.filter(half).write.mode("append").parquet(base)
+        stream = streams.file_stream(spark, base, docs.schema, files_per_trigger=10_000)
+        streams.run_capped(streams.cap_stream(stream, "language", STREAM_CAPS, ["doc_id"]), out, state)
     return spark.read.parquet(out)

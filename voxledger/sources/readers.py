@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxledger.functions import text
-from voxledger.operators.ordering import with_ordinal
+from voxledger.operators.ordering import numbered_in_ranges
 
 CORRUPT = "_corrupt_record"
 
@@ -127,9 +127,13 @@ LINE_ORDER = ("file_path", "block", "row_in_block")
 
 
 def read_prediction_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Predictions, stripped, without blank lines, with their 0-based ``line`` in each file."""
+    """Predictions, stripped, without blank lines, with their 0-based ``line`` in each file.
+
+    The blocks in which a file is read are the ranges that its lines are numbered in.
+    """
     stripped = read_lines(spark, path).withColumn("value", text.strip_ws("value")).filter(F.col("value") != "")
-    return with_ordinal(stripped, LINE_ORDER[1:], LINE_ORDER[:1], "line").select("file_path", "line", "value")
+    numbered = numbered_in_ranges(stripped, LINE_ORDER[2:], LINE_ORDER[:1], LINE_ORDER[1:2], "line")
+    return numbered.select("file_path", "line", "value")
 
 
 # The text column of each corpus.
