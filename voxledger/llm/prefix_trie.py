@@ -55,7 +55,7 @@ def _bytes(turn: Column) -> Column:
 def numbered(turns: DataFrame) -> DataFrame:
     """(conv_id, pos, id): the turns of every conversation from position 0 on."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", turn_id(F.col("role"), F.col("text")).alias("id"))
-    return with_ordinal(rows.filter("conv_id is not null"), ["turn", "id"], ["conv_id"], "pos").select("conv_id", "pos", "id")
+    return stored(with_ordinal(rows.filter("conv_id is not null"), ["turn", "id"], ["conv_id"], "pos").select("conv_id", "pos", "id"), "turns")
 
 
 def with_shared_heads(turns: DataFrame, group: int = 5, heads: int = 9) -> DataFrame:
