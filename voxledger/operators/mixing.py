@@ -57,9 +57,9 @@ def repeat_to_n(df: DataFrame, n: int | Column, order: Sequence[str], *, out: st
     numbered = with_ordinal(df, order, out="_at")
     size = df.agg(F.count("*").alias("n")).scalar()
     # Runs of positions are dealt to many tasks, which list them; each takes its row by the rest of its division.
-    length = F.least(F.lit(RUN), F.ceil(F.col("_n") / RUNS)).cast("bigint")
+    length = F.least(F.lit(RUN), F.greatest(F.lit(1), F.ceil(F.col("_n") / RUNS))).cast("bigint")
     runs = spark.range(1).select(n.alias("_n")).filter((F.col("_n") > 0) & (size > 0)).withColumn("_length", length)
-    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.col("_length")))
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.col("_n") - 1), F.col("_length")))
     runs = runs.select("_n", "_length", starts.alias("_start")).repartition("_start")
     ends = F.least(F.col("_n"), F.col("_start") + F.col("_length")) - 1
     places = runs.select(F.explode(F.sequence("_start", ends)).alias("_place"))

@@ -78,8 +78,8 @@ def numbered_in_ranges(df: DataFrame, order: Sequence[str], partition: Sequence[
 
 def with_ordinal(df: DataFrame, order: Sequence[str], partition: Sequence[str] = (), out: str = "ordinal") -> DataFrame:
     """Add the 0-based position of each row in its partition under a total order."""
-    ranged = with_range(df, [*partition, *order], "_bucket")
-    return numbered_in_ranges(ranged, order, partition, ["_bucket"], out).drop("_bucket")
+    ranged = with_range(df, [*partition, *order], "_range")
+    return numbered_in_ranges(ranged, order, partition, ["_range"], out).drop("_range")
 
 
 def with_running(
