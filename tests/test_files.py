@@ -157,3 +157,18 @@ def test_totals_that_die_half_way_are_replayed(spark, rows, tmp_path):
     assert streams._versions(spark, path) == [f"v{k:019d}" for k in (2, 3)]
     (tmp_path / "totals" / streams.POINTER).unlink()  # a rename under way on a file system without atomic renames
     assert rows(streams.read_totals(spark, path)) == [("a", 1)]
+
+
+def test_tagged_files_and_directories(spark, rows, tmp_path):
+    put(tmp_path / "afri-5" / "sw_ke_afri.json", json.dumps([{"file_name": "a", "code": 1}, {"file_name": "b"}]))
+    put(tmp_path / "indic-5" / "hi_in_indic.json", json.dumps([{"file_name": "c", "code": "x"}]))
+    schema = T.StructType().add("file_name", T.StringType()).add("code", T.LongType())
+    got = readers.read_tagged(spark, f"{tmp_path}/*-5/*.json", schema)
+    want = [("a", 1, "sw_ke", "afri-5"), ("b", None, "sw_ke", "afri-5"), ("c", None, "hi_in", "indic-5")]
+    assert rows(got, "file_name", "code", "language", "data_name") == want
+    odd = spark.createDataFrame([*want, ("d", 4, None, "a/b=c d"), ("e", 5, "é 漢", None)], "file_name string, code long, language string, data_name string")
+    writers.write_partitioned(odd, f"{tmp_path}/parts", "data_name", "language")
+    again = readers.read_tagged(spark, f"{tmp_path}/parts", schema, partitioned=True)
+    assert rows(again, *odd.columns) == rows(odd)
+    one = again.filter("language = 'sw_ke'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(language" in one

@@ -138,3 +138,21 @@ def test_records(spark, rows):
     assert stacked.columns == ["old", "new", "extra"] and stacked.count() == 3
     assert records.pending_rows(both, "new", "absent").count() == 2
     assert rows(records.pending_rows(both, "new", "old")) == [(None, "c")]
+
+
+@pytest.mark.parametrize("n", [999, 1_000, 2_525, 50_000])
+def test_top_of_any_size(spark, n):
+    rnd = random.Random(n)
+    rows = [(rnd.choice(["hot", "hot", "b", None]), -rnd.choice([0.25, 0.5, 300.0, rnd.random()]), rnd.randrange(3), i) for i in range(9_000)]
+    df = spark.createDataFrame(rows, "language string, extreme double, first_spec int, pos int")
+    top = compare.top_records_by(df, n, "language")
+    want = set()
+    for g in ("hot", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])
+        want |= {(*r, k + 1) for k, r in enumerate(own[:n])}
+    assert {tuple(r) for r in top.collect()} == want
+    if n >= compare.PUSHED_LIMIT:
+        # Windows go over one row a bin or a range, or over the rows of one range; no group is sorted in one task.
+        plan = compare._survivors(df, n, ["language"])._jdf.queryExecution().optimizedPlan().toString() + top._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.split("\n") if "Window [" in line]
+        assert windows and all("_range" in line or "_bin" in line for line in windows)

@@ -1,12 +1,13 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.brute import align, bleu, distance
 from voxledger.functions import alignment
-from voxledger.functions.bleu import add_bleu_counts, tokenize_13a
+from voxledger.functions.bleu import add_bleu_counts, ngram_counts, tokenize_13a, tokens_13a
 from voxledger.functions.distance import (
     add_char_edits,
     add_word_edits,
@@ -192,3 +193,23 @@ def test_summary_and_evaluation_record(spark):
     assert summary.bleu == record.bleu == round(bleu([("A b c d", "a b c d"), ("e f g h", "e f g x")]), 4)
     assert record.gen_len == 1.0
     assert scoring.generated_length(df, "ids").first().gen_len == 1.0
+
+
+def test_13a_tokens_of_python_and_of_the_engine(spark):
+    rnd = random.Random(8)
+    letters = list("ab9 .,-'\"&;<>!é漢😀\n\u00a0\x1c") + ["&quot;", "&amp;", "<skipped>", "-\n", "3.5", "1,000", "a.b"]
+    texts = ["", ".", "..", "a..b", "9-", "&amp;lt;"] + ["".join(rnd.choices(letters, k=rnd.randrange(1, 30))) for _ in range(3_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    engine = [r.x for r in df.select("i", tokenize_13a("t").alias("x")).orderBy("i").collect()]
+    assert tokens_13a(texts) == engine
+
+
+def test_ngrams_against_counters():
+    rnd = random.Random(3)
+    sides = [[rnd.choices("abcd", k=rnd.randrange(12)) for _ in range(400)] for _ in range(2)]
+    match, total = ngram_counts(*sides)
+    for row, (ref, hyp) in enumerate(zip(*sides, strict=True)):
+        for n in (1, 2, 3, 4):
+            a, b = (Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for t in (ref, hyp))
+            assert match[n - 1, row] == sum((a & b).values()) and total[n - 1, row] == sum(b.values())
+    assert ngram_counts([], [])[0].shape == (4, 0) and ngram_counts([[]], [[]])[1].tolist() == [[0]] * 4

@@ -1,23 +1,29 @@
 """BLEU: 13a tokens, clipped n-gram matches per row, corpus score from pooled counts.
 
-The clipped match count of one row is the size of a multiset intersection.  It is computed
-inside the row with the hash-based ``array_intersect``, so corpus BLEU shuffles only a dozen
-sums per group, never n-grams.
+Tokens of a slice of rows become numbers in one Arrow call. An n-gram's code is the rank of the pair (code of its
+first n - 1 tokens, last token); the code of a single token is that of (row, token), so equal codes mean equal grams of one
+row, and one sort an order counts them on both sides. Corpus BLEU then shuffles only a dozen sums per
+group, never n-grams. Word edits can be taken in the same call.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Iterator, Sequence
+from itertools import chain, count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from voxledger.functions.distance import Reference
 from voxledger.functions.text import _col, tokenize
 
 ORDERS = (1, 2, 3, 4)
 
 # The public 13a tokeniser, as (pattern, replacement) in order of application.
-# Its symbol class also has the space; spaces only separate tokens, so it is left out here.
 TOKENIZER_13A = (
     ("<skipped>", ""),
     ("-\n", ""),
@@ -28,10 +34,10 @@ TOKENIZER_13A = (
     ("&gt;", ">"),
     ("^", " "),
     ("$", " "),
-    (r"([!-&(-+:-@/\[-`{-~])", " $1 "),
-    (r"([^0-9])([\.,])", "$1 $2 "),
-    (r"([\.,])([^0-9])", " $1 $2"),
-    (r"([0-9])(-)", "$1 $2 "),
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "),
+    (r"([^0-9])([\.,])", r"\1 \2 "),
+    (r"([\.,])([^0-9])", r" \1 \2"),
+    (r"([0-9])(-)", r"\1 \2 "),
 )
 
 
@@ -44,80 +50,120 @@ def tokenize_13a(c: Column | str) -> Column:
         elif pattern == "$":
             text = F.concat(text, F.lit(" "))
         elif "[" in pattern:
-            text = F.regexp_replace(text, pattern, replacement)
+            text = F.regexp_replace(text, pattern, replacement.replace("\\", "$"))
         else:
             text = F.replace(text, F.lit(pattern), F.lit(replacement))
     return tokenize(text)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, not at each use inside an inner lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+_PLAIN = [(p, r) for p, r in TOKENIZER_13A if len(p) > 1 and "[" not in p or p == "\n"]
+_CLASSES = [(re.compile(p), r) for p, r in TOKENIZER_13A if "[" in p]
 
 
-def _tagged(grams: Column) -> Column:
-    """Turn a multiset into a set: the k-th copy of a gram becomes (gram, k).
+def tokens_13a(texts: Sequence[str]) -> list[list[str]]:
+    """Tokens of many texts at once; the same as :func:`tokenize_13a`.
 
-    Equal grams are adjacent once sorted, so the distances between the places where a new gram
-    starts are the counts.
+    Between padded lines no rule reaches from one text to the next.
     """
+    lines = []
+    for text in texts:
+        for pattern, replacement in _PLAIN:
+            if pattern in text:
+                text = text.replace(pattern, replacement)
+        lines.append(f" {text} ")
+    joined = "\n".join(lines)
+    for pattern, replacement in _CLASSES:
+        joined = pattern.sub(replacement, joined)
+    return [line.split() for line in joined.split("\n")]
+
+
+def ngram_counts(refs: Sequence[list[str]], hyps: Sequence[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Clipped matches and numbers of hypothesis grams, [order, row]."""
+    rows = len(refs)
+    sizes = np.array([len(t) for t in chain(refs, hyps)], np.int64)
+    flat = list(chain.from_iterable(chain(refs, hyps)))
+    seen: dict[str, int] = {}
+    ids = np.fromiter(map(seen.setdefault, flat, count()), np.int64, len(flat))
+    text = np.repeat(np.arange(2 * rows), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))  # tokens from here to the end of the text
+    match = np.zeros((len(ORDERS), rows), np.int64)
+    total = np.maximum(sizes[rows:] - (np.array(ORDERS)[:, None] - 1), 0)
+    at = np.arange(len(flat))
+    code = text % rows if rows else text
+    for n in ORDERS:
+        whole = left[at] >= n
+        at, code = at[whole], code[whole]
+        if not len(at):
+            break
+        _, first, code = np.unique(code * len(flat) + ids[at + n - 1], return_index=True, return_inverse=True)
+        of_ref = text[at] < rows
+        both = np.minimum(np.bincount(code[of_ref], minlength=len(first)), np.bincount(code[~of_ref], minlength=len(first)))
+        match[n - 1] = np.bincount(text[at][first] % rows, both, rows).astype(np.int64)
+    return match, total
+
+
+#: Characters that one slice of rows may hold, but for a longer single row.
+SLICE_CHARS = 1_000_000
+
+COUNT_COLUMNS = tuple(f"match_{n}" for n in ORDERS) + tuple(f"total_{n}" for n in ORDERS) + ("hyp_len", "ref_len")
 
-    def copies(ordered: Column, starts: Column) -> Column:
-        ends = F.concat(F.slice(starts, F.lit(2), F.array_size(starts)), F.array(F.array_size(ordered)))
-        return F.zip_with(
-            starts,
-            ends,
-            lambda a, b: F.transform(
-                F.sequence(F.lit(1), b - a), lambda k: F.concat(F.get(ordered, a), F.lit("\n"), k.cast("string"))
-            ),
-        )
-
-    def tag(ordered: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.array_size(ordered) - 1),
-            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
-        )
-        return _let(starts, lambda s: F.flatten(copies(ordered, s)))
-
-    return _let(F.sort_array(grams), tag)
-
-
-def _clipped(hyp: Column, ref: Column) -> Column:
-    """Matches of one order.  Copies only matter when both sides repeat some gram."""
-    common = F.array_size(F.array_intersect(hyp, ref))
-    plain = (F.array_size(F.array_distinct(hyp)) == F.array_size(hyp)) | (F.array_size(F.array_distinct(ref)) == F.array_size(ref))
-    return (
-        F.when(plain | (common == 0), common)
-        .otherwise(F.array_size(F.array_intersect(_tagged(hyp), _tagged(ref))))
-        .cast("bigint")
-    )
+
+def _slices(*columns: pd.Series) -> Iterator[slice]:
+    """Slices of the rows with about ``SLICE_CHARS`` characters."""
+    sizes = np.cumsum(sum(np.array([0 if t is None else len(t) for t in c], np.int64) for c in columns))
+    at = 0
+    while at < len(sizes):
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + SLICE_CHARS, side="right")))
+        yield slice(at, end)
+        at = end
+
+
+def _pair_counts(ref: Sequence[str | None], hyp: Sequence[str | None]) -> dict[str, pd.arrays.IntegerArray]:
+    """The count columns of a slice; null where the text that they count is null."""
+    no_ref, no_hyp = (np.array([t is None for t in c], bool) for c in (ref, hyp))
+    refs, hyps = (tokens_13a(["" if t is None else t for t in c]) for c in (ref, hyp))
+    match, total = ngram_counts(refs, hyps)
+    out = {f"match_{n}": (match[n - 1], no_ref | no_hyp) for n in ORDERS} | {f"total_{n}": (total[n - 1], no_hyp) for n in ORDERS}
+    out |= {"hyp_len": (total[0], no_hyp), "ref_len": (np.array([len(t) for t in refs], np.int64), no_ref)}
+    return {k: pd.arrays.IntegerArray(v, mask) for k, (v, mask) in out.items()}
+
+
+def _scorer(with_edits: bool):
+    """Arrow UDF (reference, hypothesis, and the same cleaned for word edits) -> counts (and length and edits)."""
+    fields = [*COUNT_COLUMNS, *(("ref_words", "edits") if with_edits else ())]
+
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            parts = []
+            for rows in _slices(*columns):
+                ref, hyp, *words = (c.iloc[rows].tolist() for c in columns)
+                part = _pair_counts(ref, hyp)
+                if with_edits:
+                    own = []
+                    for a, b in zip(*words, strict=True):
+                        reference = None if a is None else Reference(a.split())
+                        own.append((None, None) if a is None else (len(reference.items), None if b is None else reference.distance(b.split())))
+                    part |= dict(zip(("ref_words", "edits"), (pd.array(x, "Int64") for x in zip(*own, strict=True)), strict=True))
+                parts.append(pd.DataFrame(part, columns=fields))
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({f: pd.array([], "Int64") for f in fields})
+
+    score.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(score, T.StructType([T.StructField(f, T.LongType()) for f in fields]))
 
 
 def add_bleu_counts(df: DataFrame, ref: Column | str, hyp: Column | str) -> DataFrame:
     """Add ``match_1..4``, ``total_1..4``, ``hyp_len`` and ``ref_len`` of each text pair."""
-    kept = df.columns
-    staged = df.withColumns({"_r1": tokenize_13a(ref), "_h1": tokenize_13a(hyp)})
-    for n in ORDERS[1:]:
-        grown = {}
-        for side in ("_r", "_h"):
-            tokens = F.col(f"{side}1")
-            length = F.greatest(F.array_size(tokens) - (n - 1), F.lit(0))
-            grown[f"{side}{n}"] = F.zip_with(
-                F.slice(f"{side}{n - 1}", 1, length),
-                F.slice(tokens, n, length),
-                lambda head, last: F.concat(head, F.lit(" "), last),
-            )
-        staged = staged.withColumns(grown)
-    return staged.select(
-        *kept,
-        *[_clipped(F.col(f"_h{n}"), F.col(f"_r{n}")).alias(f"match_{n}") for n in ORDERS],
-        *[F.array_size(f"_h{n}").cast("bigint").alias(f"total_{n}") for n in ORDERS],
-        F.array_size("_h1").cast("bigint").alias("hyp_len"),
-        F.array_size("_r1").cast("bigint").alias("ref_len"),
-    )
+    scored = df.withColumn("_counts", _scorer(False)(_col(ref), _col(hyp)))
+    return scored.select(*df.columns, *[F.col(f"_counts.{c}").alias(c) for c in COUNT_COLUMNS])
 
 
-COUNT_COLUMNS = tuple(f"match_{n}" for n in ORDERS) + tuple(f"total_{n}" for n in ORDERS) + ("hyp_len", "ref_len")
+def add_bleu_counts_and_edits(
+    df: DataFrame, ref: Column | str, hyp: Column | str, clean_ref: Column | str, clean_hyp: Column | str
+) -> DataFrame:
+    """:func:`add_bleu_counts`, with ``edits`` and ``ref_words`` of the cleaned texts, in one Arrow call."""
+    scored = df.withColumn("_counts", _scorer(True)(*map(_col, (ref, hyp, clean_ref, clean_hyp))))
+    return scored.select(*df.columns, *[F.col(f"_counts.{c}").alias(c) for c in (*COUNT_COLUMNS, "edits", "ref_words")])
 
 
 def pooled_counts() -> list[Column]:

@@ -143,10 +143,8 @@ def unsmoothed_bleu(df: DataFrame, ref: str, hyp: str, *group: str) -> DataFrame
 def language_summary(df: DataFrame, ref: str, hyp: str, *group: str, digits: int = 4) -> DataFrame:
     """BLEU of stripped texts and mean normalised word error rate, from one pass over the rows."""
     present = df.filter(F.col(ref).isNotNull() & F.col(hyp).isNotNull())
-    edits = add_word_edits(present, text.clean_for_wer(ref), text.clean_for_wer(hyp))
-    counted = bleu.add_bleu_counts(
-        edits.withColumn("_wer", error_rate("edits", "ref_words")), text.strip_ws(ref), text.strip_ws(hyp)
-    )
+    sides = text.strip_ws(ref), text.strip_ws(hyp), text.clean_for_wer(ref), text.clean_for_wer(hyp)
+    counted = bleu.add_bleu_counts_and_edits(present, *sides).withColumn("_wer", error_rate("edits", "ref_words"))
     pooled = _grouped(counted, group, *bleu.pooled_counts(), F.avg("_wer").alias("_wer"))
     return pooled.select(
         *group,
@@ -167,14 +165,9 @@ def evaluation_record(
 ) -> DataFrame:
     """BLEU, mean word error rate and mean generated length of rows with both texts, in one aggregate."""
     present = df.filter(F.col(ref).isNotNull() & F.col(hyp).isNotNull())
-    edits = add_word_edits(present, text.clean_for_wer(ref), text.clean_for_wer(hyp))
-    staged = edits.withColumns(
-        {
-            "_wer": error_rate("edits", "ref_words"),
-            "_len": F.array_size(F.array_remove(ids, pad)).cast("double"),
-        }
-    )
-    counted = bleu.add_bleu_counts(staged, text.strip_ws(ref), text.strip_ws(hyp))
+    sides = text.strip_ws(ref), text.strip_ws(hyp), text.clean_for_wer(ref), text.clean_for_wer(hyp)
+    present = present.withColumn("_len", F.array_size(F.array_remove(ids, pad)).cast("double"))
+    counted = bleu.add_bleu_counts_and_edits(present, *sides).withColumn("_wer", error_rate("edits", "ref_words"))
     pooled = _grouped(
         counted, group, *bleu.pooled_counts(), F.avg("_wer").alias("_wer"), F.avg("_len").alias("_len")
     )

@@ -47,19 +47,11 @@ def sink_json(spark, d):
     + """ SELECT file_name, code, sys_uni, language, region || '-5' AS data_name FROM pairs""",
 )
 def src_glob_tagged(spark, d):
-    """Files named by language below a directory per region."""
+    """Written once, by region and language, whatever values these have."""
     base = scratch_path(spark, "tagged")
-    df = pairs(spark, d)
-    for region in ("germanic", "romance"):
-        for language in ("de", "en", "es", "fr"):
-            rows = df.filter((F.col("region") == region) & (F.col("language") == language))
-            writers.write_json_array(rows.select("file_name", "code", "sys_uni"), f"{base}/{region}-5/{language}_afri.json")
-    # Spark writes a directory per file name; its part files are one level deeper.
-    parts = readers.read_json_array(spark, f"{base}/*/*.json", RECORD)
-    directory = F.regexp_replace(F.col("_metadata.file_path"), "/part-[^/]*$", "")
-    return parts.select(
-        "*", text.file_language(directory).alias("language"), text.parent_dir(directory).alias("data_name")
-    )
+    tagged = pairs(spark, d).select("file_name", "code", "sys_uni", "language", F.concat("region", F.lit("-5")).alias("data_name"))
+    writers.write_partitioned(tagged, base, "data_name", "language")
+    return readers.read_tagged(spark, base, RECORD, partitioned=True)
 
 
 @query("src_csv_skip_bad", PAIRS_SQL + " SELECT file_name, code, CASE WHEN pos % 3 = 1 THEN NULL ELSE gold_transcript END AS transcript FROM pairs WHERE pos % 3 <> 2")

@@ -46,8 +46,16 @@ def _json_array(spark: SparkSession, path: str | list[str], schema: T.StructType
     return raw.select(*_narrow(schema), F.col("_metadata.file_path").alias("_path"))
 
 
-def read_tagged(spark: SparkSession, glob: str, schema: T.StructType) -> DataFrame:
-    """All files of a glob, tagged with language (file stem) and data name (parent directory)."""
+def read_tagged(spark: SparkSession, glob: str, schema: T.StructType, *, partitioned: bool = False) -> DataFrame:
+    """All files of a glob, tagged with language (file stem) and data name (parent directory).
+
+    ``partitioned`` reads JSON lines below directories ``data_name=.../language=...``, as
+    :func:`voxledger.sources.writers.write_partitioned` lays them out: splittable, and a filter on a tag reads its directories only.
+    """
+    if partitioned:
+        tags = [T.StructField(c, T.StringType()) for c in ("data_name", "language")]
+        raw = spark.read.schema(T.StructType([*_loose(schema).fields, *tags])).json(glob)
+        return raw.select(*_narrow(schema), "language", "data_name")
     path = F.col("_path")
     return _json_array(spark, glob, schema).select(
         *schema.names, text.file_language(path).alias("language"), text.parent_dir(path).alias("data_name")
