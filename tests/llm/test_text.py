@@ -1,6 +1,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -117,6 +118,86 @@ def whole_leaks(spark, docs, items):
     return {(r.doc_id, r.item_id) for r in template_decontam.leaks(*made, template_decontam.WHOLE).collect()}
 
 
+def wide_template(text):
+    """(kind, kind with capitals at beginnings, word) of each token."""
+    out = []
+    for (kind, word), core in zip(brute_template(text), cores(text), strict=True):
+        capital = re.match("[A-ZÀ-ÖØ-Þ][a-zà-ÿ]", core)
+        out.append((kind, kind or ("name" if capital else None), word))
+    return out
+
+
+def cores(text):
+    marks = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
+    return [w for w in (x.strip(marks) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")) if w]
+
+
+def brute_whole(docs, items, p):
+    out = set()
+    for item, text in items:
+        b = wide_template(text)
+        width = min(p.width, len(b))
+        least = p.literals if width == p.width else min(p.short_literals, width)
+
+        def readings(t, k, every, width=width, least=least):
+            """(space, code, slot values) of one window."""
+            cut = t[k : k + width]
+            first, wide = (tuple(x[i] or "=" + x[2] for x in cut) for i in (0, 1))
+            rich = sum(x[0] is None for x in cut) >= least
+            found = []
+            if rich or every:
+                found.append(("t", first, tuple(x[2] for x in cut if x[0])))
+                if wide != first:
+                    found.append(("t", wide, tuple(x[2] for x in cut if x[1])))
+            if not rich or every:
+                found.append(("v", tuple(x[2] for x in cut), ()))
+            return found
+
+        n = len(b) - width + 1 if width else 0
+        own = [(k, r) for k in range(n) for r in readings(b, k, False)]
+        for doc, given in docs:
+            d = wide_template(given)
+            shifts = {}
+            for at in range(len(d) - width + 1 if width else 0):
+                for space, code, theirs in readings(d, at, True):
+                    for k, (s, c, ours) in own:
+                        if (s, c) == (space, code):
+                            shifts.setdefault(at - k, set()).add((k, ours, theirs))
+            matched, exact = set(), set()
+            for found in shifts.values():
+                score = Counter()
+                for _, ours, theirs in found:
+                    score.update(zip(ours, theirs, strict=True))
+                score = {x: 2 * c + (x[0] == x[1]) for x, c in score.items()}
+                known = {x for x in score if not any((y[0] == x[0]) != (y[1] == x[1]) and score[y] >= score[x] for y in score)}
+                for k, ours, theirs in found:
+                    if ours == theirs or set(zip(ours, theirs, strict=True)) <= known:
+                        matched.add(k)
+                        if ours == theirs:
+                            exact.add(k)
+            if n and len(matched) >= p.share * n:
+                out.add((doc, item, len(matched), n, len(exact) >= p.share * n))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_whole_leaks_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = [*"the of and some more small then red".split(), "Anna", "Bert", "Tom.", "Ann", "3", "4", "5 kg", "7 km", "12th", "So", "it.", "\nNow", "?"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+
+    def changed(t):
+        swap = {w: rng.choice(words) for w in ("Anna", "Bert", "3", "4", "Ann")}
+        return " ".join(swap.get(w, w) if rng.random() < 0.8 else w for w in t.split(" "))
+
+    items = [(i, text(rng.choice([0, 1, 2, 5, 7, 8, 9, 15, 30]))) for i in range(25)]
+    docs = [(100 + i, text(20) + " " + changed(rng.choice(items)[1]) + " " + text(rng.randrange(20))) for i in range(40)]
+    docs += [(200 + i, changed(t)) for i, t in items] + [(300, None), (301, ""), (302, items[-1][1] + " " + items[-1][1])]
+    made = [spark.createDataFrame(rows, f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
+    got = {tuple(r) for r in template_decontam.leaks(*made, template_decontam.WHOLE).collect()}
+    assert got == brute_whole(docs, items, template_decontam.WHOLE) and len(got) > 20
+
+
 def test_verbatim_copies_of_slot_dense_items(spark):
     sums, names = "Solve 3 x 4 + 12 / 6 - 8 = ?", "List: Anna Bert Carla Dora Emil Fritz Gerd Hans Ida Jan"
     docs = [(1, f"before\n{sums} after"), (2, f"so we {names}, too"), (3, "it is 7 8 9 here"), (4, "Solve 5 x 4 + 12 / 6 - 8 = ?"), (5, "it is 7 8 10 here"), (6, QUESTION)]

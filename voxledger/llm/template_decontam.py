@@ -22,22 +22,20 @@ least ``short_literals``. Items without any such window, null and empty texts ma
 
 With ``whole`` (``WHOLE``) windows with fewer literal words count too, and match where their words stand verbatim
 (case aside): questions dense in numbers and names are found when they are copied. An alignment with clashing slots
-keeps a one-to-one map of the pairs that most of its windows hold, and loses only windows with other pairs; windows whose
-slots all hold the item's own values always count. Windows also have a second reading, in which capitalised words are
+keeps the pairs that are ahead of all pairs with the same item value or document value, and loses only windows with other
+pairs; windows whose slots all hold the item's own values always count. Windows also have a second reading, in which capitalised words are
 names at the beginning of a sentence or line too; it counts for the item's window, whose first reading decides on literals.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from voxledger.llm.bitset import bit_set, passes
 from voxledger.llm.bytetext import mix, slices, span_hash, windows, words
@@ -194,36 +192,52 @@ def _windowed(p: Parameters, widths: list[int] | None, bits: np.ndarray | None):
     return run
 
 
-@F.udf(T.ArrayType(T.StructType([T.StructField("b", T.IntegerType()), T.StructField("same", T.BooleanType())])))
-def _settled(found):
-    """Windows of an alignment with clashing slots that agree with the map of its most frequent pairs."""
-    if found is None:
-        return None
-    count = Counter((x.ours, x.theirs) for w in found for x in w.slots)
-    to, back = {}, set()
-    for ours, theirs in sorted(count, key=lambda x: (-count[x], x[0] != x[1], x)):
-        if ours not in to and theirs not in back:
-            to[ours] = theirs
-            back.add(theirs)
-    out = []
-    for w in found:
-        same = all(x.ours == x.theirs for x in w.slots)
-        if same or all(to.get(x.ours) == x.theirs for x in w.slots):
-            out.append((w.b, same))
-    return out
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, not at each use inside an inner lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _settled(found: Column) -> Column:
+    """Windows of an alignment that hold the item's own values, or only pairs of the map that most of its windows hold.
+
+    A pair is in the map if every other pair with its item value or its document value stands in fewer slots; of two equal
+    counts the pair of equal values is ahead.
+    """
+    same = lambda y: y["ours"] == y["theirs"]
+    alike = lambda x, y: (x["ours"] == y["ours"]) & (x["theirs"] == y["theirs"])
+
+    def scored(every: Column) -> Column:
+        def score(x: Column) -> Column:
+            times = F.array_size(F.filter(every, lambda y: alike(x, y)))
+            return F.struct(x["ours"].alias("ours"), x["theirs"].alias("theirs"), (2 * times + same(x).cast("int")).alias("score"))
+
+        return F.transform(F.array_distinct(every), score)
+
+    def in_map(pairs: Column) -> Column:
+        def ahead(x: Column) -> Column:
+            return ~F.exists(pairs, lambda y: ((y["ours"] == x["ours"]) != (y["theirs"] == x["theirs"])) & (y["score"] >= x["score"]))
+
+        return F.filter(pairs, ahead)
+
+    def windows_of(pairs: Column) -> Column:
+        whole = F.filter(found, lambda w: F.forall(w["slots"], same) | F.forall(w["slots"], lambda y: F.exists(pairs, lambda x: alike(x, y))))
+        return F.transform(whole, lambda w: F.struct(w["b"].alias("b"), F.forall(w["slots"], same).alias("same")))
+
+    every = F.flatten(F.transform(found, lambda w: w["slots"]))
+    return _let(every, lambda e: _let(scored(e), lambda s: _let(in_map(s), windows_of)))
 
 
 def _covered(joined: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, same, b): windows that count, where clashes cost only the windows that hold them."""
     window = F.struct(F.col("b").alias("b"), F.arrays_zip("ours", "theirs").alias("slots"))
+    # An alignment has as many windows as the item, in two readings at most.
     aligned = joined.groupBy("doc_id", "item_id", "n_windows", (F.col("d") - F.col("b")).alias("shift")).agg(F.collect_set(window).alias("found"))
     pairs = F.array_distinct(F.flatten(F.transform("found", lambda x: x["slots"])))
     aligned = aligned.withColumn("pairs", pairs)
     size = F.array_size("pairs")
     steady = (F.array_size(F.array_distinct(F.col("pairs.ours"))) == size) & (F.array_size(F.array_distinct(F.col("pairs.theirs"))) == size)
     plain = F.transform("found", lambda x: F.struct(x["b"].alias("b"), F.forall(x["slots"], lambda y: y["ours"] == y["theirs"]).alias("same")))
-    aligned = aligned.withColumn("clashing", _settled(F.when(~steady, F.col("found"))))
-    counted = aligned.select("doc_id", "item_id", "n_windows", F.explode(F.coalesce("clashing", plain)).alias("w"))
+    counted = aligned.select("doc_id", "item_id", "n_windows", F.explode(F.when(steady, plain).otherwise(_settled(F.col("found")))).alias("w"))
     return counted.select("doc_id", "item_id", "n_windows", F.col("w.same").alias("same"), F.col("w.b").alias("b"))
 
 
