@@ -8,6 +8,7 @@ whatever the length of the texts; only a single longer text makes a longer slice
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,6 +65,14 @@ class Words:
         return np.diff(self.first)
 
 
+def give_back() -> None:
+    """Free memory that the allocators of this worker keep goes back to the system, for the tasks after this one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Pieces of a string column of about ``limit`` bytes, each with its first row's number."""
     if isinstance(column, pa.ChunkedArray):
@@ -75,6 +84,7 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         end = max(at + 1, int(np.searchsorted(size, before + limit, side="right")))
         yield at, column.slice(at, end - at)
         at = end
+    give_back()
 
 
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
