@@ -1,5 +1,6 @@
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import sentencepiece
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tests.llm.conftest import prose
-from voxledger.llm import count_viterbi, elias_fano_ids, piece_transducer, template_decontam
+from voxledger.llm import count_viterbi, elias_fano_ids, piece_transducer, template_decontam, units
 from voxledger.llm.queries_text import PIECE_MODEL, WORD_TOKENIZER
 from voxledger.session import scratch_path
 
@@ -299,7 +300,10 @@ def test_counts_are_the_tokenizer_s(messy, empty):
 def test_elias_fano(values):
     code = elias_fano_ids.EliasFano.of(np.array(values, np.int64))
     code = elias_fano_ids.EliasFano.unpack(*code.pack())
-    assert code.all().tolist() == values and [code.get(i) for i in range(len(values))] == values
+    assert code.block(0, len(values)).tolist() == values and [code.get(i) for i in range(len(values))] == values
+    for first in range(0, len(values), 37):
+        last = min(first + 101, len(values))
+        assert code.block(first, last).tolist() == values[first:last]
 
 
 def test_elias_fano_is_small():
@@ -307,11 +311,11 @@ def test_elias_fano_is_small():
     assert len(elias_fano_ids.EliasFano.of(bounds).pack()[0]) < 100_000 * 1.6
 
 
-@pytest.mark.parametrize("ids_a_file", [300, 1 << 27])
-def test_shards_hold_the_tokenizer_s_ids(messy, empty, spark, ids_a_file):
+@pytest.mark.parametrize(("ids_a_file", "docs_a_file"), [(300, 1 << 20), (1 << 27, 2), (1 << 27, 1 << 20)])
+def test_shards_hold_the_tokenizer_s_ids(messy, empty, spark, ids_a_file, docs_a_file):
     tokenizer = Tokenizer.from_file(WORD_TOKENIZER)
     folder = scratch_path(spark, "ids")
-    shards = elias_fano_ids.write_shards(messy, WORD_TOKENIZER, 2, folder, ids_a_file)
+    shards = elias_fano_ids.write_shards(messy, WORD_TOKENIZER, 2, folder, ids_a_file, docs_a_file)
     got = elias_fano_ids.read_shards(shards, elias_fano_ids.ids_crc32, "ids_crc32").collect()
     rows = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in messy.select("doc_id", "text").collect()))
     coded = [(i if not null else None, np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4")) for null, i, t in rows]
@@ -328,3 +332,26 @@ def test_shards_hold_the_tokenizer_s_ids(messy, empty, spark, ids_a_file):
 
 def test_files_of_the_tokenizers_are_found():
     assert public_tokenizers.path("word_bpe_49k.json") == WORD_TOKENIZER
+
+
+def test_memo_tables_have_a_bound_in_bytes():
+    made = []
+    memo = units.Memo(lambda k: made.append(k) or k * 2, 20_000)
+    for k in map(str, range(1_000)):
+        assert memo[k] == k * 2 and memo[k] == k * 2
+        assert sum(map(sys.getsizeof, [*memo.keys(), *memo.values()])) <= 20_000
+    assert len(made) == 1_000 and 0 < len(memo) < 1_000
+    long = "x" * 5_000
+    assert memo[long] == long * 2 and long not in memo
+
+
+def test_worker_objects_go_with_their_stage(monkeypatch):
+    stage = [1]
+    monkeypatch.setattr(units, "_stage", lambda: stage[0])
+    monkeypatch.setattr(units, "_kept", {})
+    first = units.per_worker(("a",), list)
+    units.let_go()
+    assert units.per_worker(("a",), list) is first
+    stage[0] = 2
+    units.let_go()
+    assert units._kept == {} and units.per_worker(("a",), list) is not first

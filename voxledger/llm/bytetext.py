@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from voxledger.llm.units import let_go
+
 SLICE_BYTES = 1_000_000
 
 SEPARATOR = np.zeros(256, bool)
@@ -75,6 +77,7 @@ def give_back() -> None:
 
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Pieces of a string column of about ``limit`` bytes, each with its first row's number."""
+    let_go()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -46,7 +46,7 @@ class Counter:
         self.automaton.make_automaton()
         self.single = {piece for piece, _ in entries if len(piece) == 1}
         self.unknown = min(score for _, score in entries) - UNKNOWN_PENALTY
-        self.words = Memo(self.count_word)
+        self.words = Memo(self.count_word, 96_000_000)
 
     def count_word(self, word: str) -> int:
         best: list[float | None] = [0.0] + [None] * len(word)

@@ -71,12 +71,12 @@ class PieceTransducer:
             for c in piece:
                 node = node.setdefault(c, {})
             node[None] = i
-        self.arc = Memo(self._arc, 2_000_000)
+        self.arc = Memo(self._arc)
         self.surface = [p.piece.replace(BLANK, " ").encode() if p.type == NORMAL else b"" for p in proto.pieces]
         for value, i in self.bytes.items():
             self.surface[i] = bytes([value])
         self.surface[self.unknown] = proto.trainer_spec.unk_surface.encode()
-        self.paths = Memo(self.path)
+        self.paths = Memo(self.path, 112_000_000)
 
     def _stretches(self) -> re.Pattern:
         """Stretches that no piece goes over: at blanks, at newlines and at word characters where the pieces allow it."""

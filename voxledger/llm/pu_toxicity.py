@@ -196,17 +196,15 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.3, p: Parameters
     """The documents without those that score ``limit`` or more; columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
-
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         own = shared.value
         if own.weights is None:
-            return pd.Series(np.zeros(len(texts)))
+            return pa.array(np.zeros(len(texts)))
         out = [np.zeros(0)]
-        for _, column in slices(pa.array(texts, pa.string())):
+        for _, column in slices(texts):
             index, value, bounds = features(column, p, own.weights != 0)
             out.append(_sigmoid(Sparse(index, value.astype(np.float64), bounds).dot(own.weights) + own.bias))
-        return pd.Series(np.concatenate(out))
+        return pa.array(np.concatenate(out))
 
     return docs.filter(scored("text") < limit)
