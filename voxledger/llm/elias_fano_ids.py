@@ -44,6 +44,8 @@ from voxledger.session import scratch_path
 MAGIC = b"EFIDS001"
 SAMPLE = 64
 IDS_A_FILE = 1 << 27
+DOCS_A_FILE = 1 << 20
+BLOCK = 1 << 14  # values that are coded or read at once; a multiple of eight
 
 
 @dataclass
@@ -62,32 +64,30 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) + 1 if n else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
-        low = ((values[:, None] >> np.arange(low_bits)) & 1).astype(np.uint8).ravel()
+        shifts = np.arange(low_bits)
+        low = [np.packbits(((values[at : at + BLOCK, None] >> shifts) & 1).astype(np.uint8), bitorder="little") for at in range(0, n, BLOCK)]
         ones = (values >> low_bits) + np.arange(n)
-        high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
-        high[ones] = 1
-        return cls(n, low_bits, np.packbits(low, bitorder="little"), np.packbits(high, bitorder="little"), ones[::SAMPLE].astype(np.uint32))
+        high = np.zeros(int(ones[-1]) // 8 + 1 if n else 0, np.uint8)
+        np.bitwise_or.at(high, ones >> 3, np.left_shift(1, ones & 7).astype(np.uint8))
+        return cls(n, low_bits, np.concatenate([np.zeros(0, np.uint8), *low]), high, ones[::SAMPLE].astype(np.uint32))
+
+    def block(self, first: int, last: int) -> np.ndarray:
+        """Values first..last-1: high bits from the select sample before them to the one after, low bits by their place."""
+        if first >= last:
+            return np.zeros(0, np.int64)
+        sample, after = first // SAMPLE, -(-last // SAMPLE)
+        start = int(self.samples[sample])
+        stop = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        byte = start // 8
+        ones = np.flatnonzero(np.unpackbits(self.high[byte : (stop + 7) // 8], bitorder="little")) + 8 * byte
+        ones = ones[ones >= start][first - sample * SAMPLE :][: last - first]
+        bit, size = first * self.low_bits, (last - first) * self.low_bits
+        bits = np.unpackbits(self.low[bit // 8 : (bit + size + 7) // 8], bitorder="little")[bit % 8 : bit % 8 + size]
+        low = bits.reshape(last - first, self.low_bits).astype(np.int64) << np.arange(self.low_bits)
+        return ((ones - np.arange(first, last)) << self.low_bits) + low.sum(axis=1)
 
     def get(self, i: int) -> int:
-        """The i-th value, from one sample and the few bytes after it."""
-        at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte = at // 8
-        skip = int(np.unpackbits(self.high[byte : byte + 1], bitorder="little", count=at % 8).sum()) if at % 8 else 0
-        want, width = left + skip, 64
-        while True:
-            found = np.flatnonzero(np.unpackbits(self.high[byte : byte + width], bitorder="little"))
-            if len(found) > want:
-                break
-            width *= 4
-        high = byte * 8 + int(found[want]) - i
-        first = i * self.low_bits
-        bits = np.unpackbits(self.low[first // 8 : (first + self.low_bits + 7) // 8], bitorder="little")[first % 8 : first % 8 + self.low_bits]
-        return (high << self.low_bits) + int((bits.astype(np.int64) << np.arange(self.low_bits)).sum())
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-        return ((ones - np.arange(self.n)) << self.low_bits) + (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+        return int(self.block(i, i + 1)[0])
 
     def pack(self) -> tuple[bytes, list[int]]:
         parts = [self.low.tobytes(), self.high.tobytes(), self.samples.astype("<u4").tobytes()]
@@ -99,28 +99,33 @@ class EliasFano:
         return cls(n, low_bits, np.frombuffer(data, np.uint8, a), np.frombuffer(data, np.uint8, b, a), np.frombuffer(data, "<u4", c // 4, a + b))
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The Arrow file system of a path as Spark names it; Arrow knows Hadoop's schemes of S3 as ``s3``."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
 class ShardWriter:
-    """One file; ids go out as they come, boundaries are kept until the end."""
+    """One file; ids go out as they come, boundaries and document ids are kept as plain numbers until the end."""
 
     def __init__(self, folder: str, name: str, id_bytes: int):
-        self.fs, root = pafs.FileSystem.from_uri(folder)
+        self.fs, root = file_system(folder)
         self.fs.create_dir(root, recursive=True)
         self.final, self.temporary = f"{root}/{name}", f"{root}/_{name}-{uuid.uuid4().hex}"
         self.path = f"{folder}/{name}"
         self.file = self.fs.open_output_stream(self.temporary)
-        self.id_bytes, self.lengths, self.docs, self.nulls, self.size = id_bytes, [], [], 0, 0
+        self.id_bytes, self.bounds, self.docs, self.nulls, self.size = id_bytes, array.array("q", [0]), array.array("q"), 0, 0
 
     def add(self, doc: int | None, ids: bytes) -> None:
         self.file.write(ids)
-        self.lengths.append(len(ids) // self.id_bytes)
-        self.size += self.lengths[-1]
+        self.size += len(ids) // self.id_bytes
+        self.bounds.append(self.size)
         if doc is None:
             self.nulls += 1
         else:
             self.docs.append(doc)
 
     def close(self) -> tuple[str, int, int]:
-        bounds, b_shape = EliasFano.of(np.cumsum([0, *self.lengths])).pack()
+        bounds, b_shape = EliasFano.of(np.frombuffer(self.bounds, np.int64)).pack()
         base = self.docs[0] if self.docs else 0
         docs, d_shape = EliasFano.of(np.array(self.docs, np.int64) - base).pack()
         self.file.write(bounds)
@@ -129,14 +134,14 @@ class ShardWriter:
         self.file.write(foot + len(foot).to_bytes(4, "little") + MAGIC)
         self.file.close()
         self.fs.move(self.temporary, self.final)
-        return self.path, len(self.lengths), self.size
+        return self.path, len(self.bounds) - 1, self.size
 
 
 class Shard:
     """Random and streamed access to a file."""
 
     def __init__(self, path: str):
-        fs, inner = pafs.FileSystem.from_uri(path)
+        fs, inner = file_system(path)
         self.file = fs.open_input_file(inner)
         size = self.file.size()
         self.file.seek(size - 12)
@@ -158,6 +163,10 @@ class Shard:
         self.file.seek(first * self.id_bytes)
         return np.frombuffer(self.file.read((last - first) * self.id_bytes), f"<u{self.id_bytes}")
 
+    def doc_ids(self, first: int, last: int) -> pa.Array:
+        known = min(max(first, self.docs.n), last)
+        return pa.concat_arrays([pa.array(self.docs.block(first, known) + self.base), pa.nulls(last - known, pa.int64())])
+
     def document(self, i: int) -> np.ndarray:
         return self.ids(self.bounds.get(i), self.bounds.get(i + 1))
 
@@ -183,7 +192,7 @@ class WordEncoder:
         latin = [chr(c) for c in range(0xDF, 0x100)]
         self.alphabet = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in latin})
         self.end = self._bytes([end_id])
-        self.words, self.others = Memo(self._word), Memo(self._whole, 50_000)
+        self.words, self.others = Memo(self._word, 112_000_000), Memo(self._whole, 8_000_000)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array.array(self.kind, ids).tobytes()
@@ -206,7 +215,7 @@ class WordEncoder:
         return [b"".join(map(self.words.__getitem__, t.encode().split() if t else ())) + self.end for t in texts]
 
 
-def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str, ids_a_file: int = IDS_A_FILE) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str, ids_a_file: int = IDS_A_FILE, docs_a_file: int = DOCS_A_FILE) -> DataFrame:
     """Write all documents in ascending order of doc_id; gives (shard, part, path, n_docs, n_ids), a row a file."""
     with open(tokenizer_file) as f:  # a file of the program, below two megabytes
         tokenizer = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -223,7 +232,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str,
                     if writer is None:
                         writer = ShardWriter(folder, f"ids-{shard:06d}-{part:04d}.efi", id_bytes)
                     writer.add(doc, ids)
-                    if writer.size >= ids_a_file:
+                    if writer.size >= ids_a_file or len(writer.bounds) > docs_a_file:
                         done.append((shard, part, *writer.close()))
                         writer, part = None, part + 1
         if writer is not None:
@@ -251,16 +260,15 @@ def read_shards(shards: DataFrame, each: Callable[[np.ndarray], int], column: st
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 shard = Shard(path)
-                bounds = shard.bounds.all()
-                docs = pa.concat_arrays([pa.array(shard.docs.all() + shard.base), pa.nulls(shard.nulls, pa.int64())])
                 at = 0
                 while at < len(shard):
-                    end = max(at + 1, min(len(shard), int(np.searchsorted(bounds, bounds[at] + 2_000_000)) - 1))
-                    ids = shard.ids(bounds[at], bounds[end])
-                    cuts = bounds[at : end + 1] - bounds[at]
+                    bounds = shard.bounds.block(at, min(at + BLOCK, len(shard)) + 1)
+                    n = max(1, int(np.searchsorted(bounds, bounds[0] + 2_000_000, side="right")) - 1)
+                    cuts = bounds[: n + 1] - bounds[0]
+                    ids = shard.ids(bounds[0], bounds[n])
                     values = [each(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                    yield pa.record_batch([docs.slice(at, end - at), pa.array(bounds[at:end] + start), pa.array(np.diff(cuts)), pa.array(values, pa.int64())], names=["doc_id", "start", "n_tokens", column])
-                    at = end
+                    yield pa.record_batch([shard.doc_ids(at, at + n), pa.array(bounds[:n] + start), pa.array(np.diff(cuts)), pa.array(values, pa.int64())], names=["doc_id", "start", "n_tokens", column])
+                    at += n
 
     return placed.repartitionByRange(tasks, "path").mapInArrow(run, f"doc_id long, start long, n_tokens long, {column} long")
 
