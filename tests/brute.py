@@ -5,30 +5,24 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cache
+from operator import add
 
 
 def align(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
-    """(substitutions, deletions, insertions) by a full matrix walked back from its end."""
-    cost = [[i + j if 0 in (i, j) else 0 for j in range(len(hyp) + 1)] for i in range(len(ref) + 1)]
-    for i, r in enumerate(ref, 1):
-        for j, h in enumerate(hyp, 1):
-            cost[i][j] = min(cost[i - 1][j] + 1, cost[i][j - 1] + 1, cost[i - 1][j - 1] + (r != h))
-    i, j, counts = len(ref), len(hyp), Counter()
-    while i or j:
-        here = cost[i][j]
-        diagonal = cost[i - 1][j - 1] if i and j else math.inf
-        if i and j and ref[i - 1] == hyp[j - 1] and here == diagonal:
-            i, j = i - 1, j - 1
-        elif here == diagonal + 1:
-            counts["s"] += 1
-            i, j = i - 1, j - 1
-        elif i and here == cost[i - 1][j] + 1:
-            counts["d"] += 1
-            i -= 1
-        else:
-            counts["i"] += 1
-            j -= 1
-    return counts["s"], counts["d"], counts["i"]
+    """(substitutions, deletions, insertions) of the cheapest way; of equally cheap last steps the first listed counts."""
+
+    @cache
+    def best(i: int, j: int) -> tuple[int, int, int]:
+        if not i or not j:
+            return 0, i, j
+        changed = int(ref[i - 1] != hyp[j - 1])
+        ways = [(best(i - 1, j - 1), (changed, 0, 0)), (best(i - 1, j), (0, 1, 0)), (best(i, j - 1), (0, 0, 1))]
+        return min((tuple(map(add, before, step)) for before, step in ways), key=sum)
+
+    for i in range(len(ref)):  # keeps the recursion shallow
+        best(i, len(hyp))
+    return best(len(ref), len(hyp))
 
 
 def distance(a, b) -> int:

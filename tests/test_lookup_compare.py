@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 
 from tests.brute import distance
@@ -32,29 +33,24 @@ def test_reference_join_and_default_translation(spark, rows):
     assert rows(lookup.translation_lookup(ids, dim)) == [(1, "t"), (2, "")]
 
 
-def brute_compare(base, systems, worse, min_diff, n):
-    """Dictionary-based comparison of (id, text, gold) and {name: [(id, text)]} row lists."""
-    table = {}
-    for rec, text, gold in base:
-        if text is not None:
-            table[rec] = (text, gold)
-    found = {}
-    for name, lines in systems.items():
-        hyps = {rec: text for rec, text in lines if text is not None}
-        for rec, (text, gold) in table.items():
-            if rec not in hyps or gold is None:
-                continue
-            words = gold.split()
-            wb = distance(words, text.split()) / len(words)
-            ws = distance(words, hyps[rec].split()) / len(words)
-            diff = wb - ws
-            if (diff >= 0 if worse else diff <= 0) or abs(diff) < min_diff:
-                continue
-            found.setdefault(rec, []).append((name, ws * 100, diff * 100))
-    for models in found.values():
-        models.sort(key=lambda m: m[2] if worse else -m[2])
-    pick = (lambda r: min(m[2] for m in r[1])) if worse else (lambda r: -max(m[2] for m in r[1]))
-    return sorted(found.items(), key=pick)[:n]
+def expected_changes(base, systems, worse, min_diff, n):
+    """The n records that change most, from (id, text, gold) and {name: [(id, text)]}, by merges of small frames."""
+    rows = pd.DataFrame(base, columns=["id", "text", "gold"]).reset_index(names="place").dropna(subset="text")
+    rows["place"] = rows.groupby("id").place.transform("min")
+    rows = rows.drop_duplicates("id", keep="last").dropna(subset="gold")
+    frames = [pd.DataFrame(x, columns=["id", "said"]).dropna().drop_duplicates("id", keep="last").assign(system=s, rank=k) for k, (s, x) in enumerate(systems.items())]
+    both = rows.merge(pd.concat(frames), on="id")
+
+    def rate(column):
+        return [distance(g.split(), t.split()) / len(g.split()) for g, t in zip(both.gold, both[column], strict=True)]
+
+    both["wer"] = rate("said")
+    both["change"] = pd.Series(rate("text"), both.index) - both.wer
+    both["key"] = both.change if worse else -both.change
+    both = both[(both.key < 0) & (both.change.abs() >= min_diff)].sort_values(["key", "rank"])
+    best = both.groupby("id").agg(key=("key", "min"), rank=("rank", "min"), place=("place", "min"))
+    picked = best.sort_values(["key", "rank", "place"]).head(n).index
+    return [(i, [(m.system, m.wer * 100, m.change * 100) for m in both[both.id == i].itertuples()]) for i in picked]
 
 
 @pytest.mark.parametrize("worse", [False, True])
@@ -82,7 +78,7 @@ def test_comparison_against_dictionaries(spark, worse):
     ]
     expected = [
         (rec, [(n, round(w, 6), round(d, 6)) for n, w, d in models])
-        for rec, models in brute_compare(base, systems, worse, 0.05, 15)
+        for rec, models in expected_changes(base, systems, worse, 0.05, 15)
     ]
     assert got == expected and got
 

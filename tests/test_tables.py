@@ -171,6 +171,46 @@ def test_inference(spark, rows):
     assert ("c", "C") in rows(new)
 
 
+def test_fill_goes_on_after_a_killed_job(spark, tmp_path, rows):
+    calls, poison = str(tmp_path / "calls"), str(tmp_path / "poison")
+
+    def load():
+        import os
+        import time
+
+        def predict(texts):
+            if "w7" in texts and not os.path.exists(poison):
+                time.sleep(3)  # the other tasks end before
+                open(poison, "w").close()
+                raise SystemExit("killed")
+            with open(calls, "a") as f:
+                f.writelines(t + "\n" for t in texts)
+            if "bad" in texts:
+                raise ValueError("bad")
+            return [t.upper() for t in texts]
+
+        return predict
+
+    texts = [(k, f"w{k}", None) for k in range(40)] + [(40, "bad", None), (41, None, None), (42, "z", "done"), (None, "no key", None), (7, "w7x", None)]
+    df = spark.createDataFrame(texts, "id long, s string, t string")
+    path = str(tmp_path / "outcomes")
+    with pytest.raises(Exception):  # noqa: B017
+        inference.score_pending(df, "id", "s", "t", load, path, tasks=4)
+    first = {r.id for r in inference.stored_outcomes(df, "id", "t", path).collect()}
+    assert 0 < len(first) < 41 and 7 not in first
+    early = open(calls).read().split()
+    inference.score_pending(df, "id", "s", "t", load, path, tasks=4)
+    late = open(calls).read().split()[len(early) :]
+    assert not {f"w{k}" for k in first} & set(late)
+    inference.score_pending(df, "id", "s", "t", load, path, tasks=4)
+    stored = inference.stored_outcomes(df, "id", "t", path)
+    assert sorted(r.id for r in stored.collect()) == list(range(41))
+    want = [(k, f"w{k}", f"W{k}") for k in range(40)] + [(40, "bad", ""), (41, None, None), (42, "z", "done"), (None, "no key", None), (7, "w7x", "W7")]
+    assert rows(inference.fill_stored(df, "id", "s", "t", path)) == sorted(want, key=repr)
+    inference.score_pending(df, "id", "s", "t", lambda: lambda texts: ["found" for _ in texts], path, retry=True)
+    assert (40, "bad", "found") in rows(inference.fill_stored(df, "id", "s", "t", path)) and stored.sparkSession.read.parquet(path).count() == 42
+
+
 def test_requests(spark):
     df = spark.createDataFrame([(bytearray(range(100)), "fr")], T.StructType().add("a", T.BinaryType()).add("l", T.StringType()))
     request = inference.request_table(df, "a", F.col("l"), model="m").first().request

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxledger.operators.records import pending_rows
+
 Predict = Callable[[list[str]], list[str]]
 
 # The instruction texts sent with each recording.
@@ -76,6 +78,48 @@ def fill_missing(df: DataFrame, source: str, target: str, load: Callable[[], Pre
     return asked.select(*[c for c in df.columns if c != target], value.alias(target))
 
 
+def stored_outcomes(df: DataFrame, key: str, target: str, path: str) -> DataFrame:
+    """(key, target, error) of the rows scored so far; empty before the first run."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    schema = T.StructType([df.schema[key], T.StructField(target, T.StringType()), T.StructField("error", T.StringType())])
+    return spark.read.schema(schema).parquet(path)
+
+
+def score_pending(
+    df: DataFrame, key: str, source: str, target: str, load: Callable[[], Predict], path: str, *, retry: bool = False, tasks: int | None = None
+) -> None:
+    """Score the pending rows whose key has no outcome below ``path`` and append what comes out.
+
+    Each task's file is renamed into place when the task ends (version 2 of the output committer), so a job that
+    dies loses only the tasks that were running; the next run scores the rest. ``tasks`` sets their number, and so the
+    work that can be lost. Failed rows are stored with their error and scored again only with ``retry``. Of rows
+    with one key the one with the least source text is scored; rows without a key stay pending. One run at a time.
+    """
+    waiting = pending_rows(df, source, target).filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(source).alias(source))
+    done = stored_outcomes(df, key, target, path)
+    done = done.filter(F.col("error").isNull()) if retry else done
+    new = waiting.join(done.select(key), key, "left_anti")
+    # By a hash of its own: a partitioning that equals the join's would be merged with it, and its tasks with each other.
+    new = new.repartition(tasks, F.xxhash64(key)) if tasks else new
+    scored = score_rows(new, source, load, out=target).select(key, target, "error")
+    scored.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+
+
+def fill_stored(df: DataFrame, key: str, source: str, target: str, path: str) -> DataFrame:
+    """Complete the target of pending rows from the stored outcomes; done rows stay.
+
+    A failed row gets the empty text; a pending row without an outcome stays null. A later success replaces an error.
+    """
+    outcomes = stored_outcomes(df, key, target, path).groupBy(F.col(key).alias("_key"))
+    outcomes = outcomes.agg(F.coalesce(F.max(target), F.lit("")).alias("_filled"))
+    done = F.col(target) if target in df.columns else F.lit(None).cast("string")
+    value = F.coalesce(done, F.when(F.col(source).isNotNull(), F.col("_filled")))
+    joined = df.join(outcomes, F.col(key) == F.col("_key"), "left")
+    return joined.select(*[c for c in df.columns if c != target], value.alias(target))
+
+
 def prompt(template: str, language: Column) -> Column:
     before, after = template.split("{}")
     return F.concat(F.lit(before), language, F.lit(after))

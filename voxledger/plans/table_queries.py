@@ -9,6 +9,7 @@ from voxledger.operators import inference, lookup, mixing, nested, rollup
 from voxledger.operators.ordering import with_ordinal
 from voxledger.plans.registry import query
 from voxledger.plans.workload import ISO3, PAIRS_SQL, UTTERANCES_SQL, pairs, strip_sql, table, utterances
+from voxledger.session import scratch_path
 from voxledger.sources.readers import normalize_corpus
 
 # ---------------------------------------------------------------- lookups
@@ -390,6 +391,23 @@ def fill_missing(spark, d):
     return inference.fill_missing(df, "sys_plus", "sys_uni", _stand_in).select("pos", "sys_uni")
 
 
+@query(
+    "fill_resumed",
+    PAIRS_SQL
+    + """ SELECT pos, CASE WHEN sys_uni IS NOT NULL THEN sys_uni WHEN contains(sys_plus, ' | ') THEN '' ELSE reverse(sys_plus) END AS sys_uni,
+      CASE WHEN sys_uni IS NULL AND sys_plus IS NOT NULL THEN 1 ELSE 0 END AS n_scored FROM pairs""",
+)
+def fill_resumed(spark, d):
+    """A run that got as far as one language, a run over all rows, and one that finds nothing to do."""
+    df = pairs(spark, d).select("pos", "language", "sys_plus", "sys_uni")
+    path = scratch_path(spark, "outcomes")
+    for part in (df.filter("language = 'de'"), df, df):
+        inference.score_pending(part, "pos", "sys_plus", "sys_uni", _stand_in, path)
+    scored = inference.stored_outcomes(df, "pos", "sys_uni", path).groupBy("pos").agg(F.count("*").cast("int").alias("n"))
+    filled = inference.fill_stored(df, "pos", "sys_plus", "sys_uni", path)
+    return filled.join(scored, "pos", "left").select("pos", "sys_uni", F.coalesce("n", F.lit(0)).alias("n_scored"))
+
+
 @query(
     "request_table",
     """SELECT doc_id, concat('{"model":"stand-in","text":"Translate this audio from ', lang, ' to English.","input_audio":{"data":"',
