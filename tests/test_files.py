@@ -76,6 +76,34 @@ def test_json_array_files_are_arrays(spark, tmp_path):
     assert [json.loads(p.read_text()) for p in (tmp_path / "none").glob("part-*")] == [[]]
 
 
+def test_a_task_writes_its_records_as_several_arrays(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "ARRAY_CHARS", 1_000)
+    df = spark.createDataFrame([(f"f{i}", i, "é" * 40) for i in range(200)], "file_name string, code long, whisper_l string").coalesce(1)
+    path = f"{tmp_path}/out"
+    writers.write_json_array(df, path)
+    parts = [p.read_text(encoding="utf-8") for p in (tmp_path / "out").glob("part-*")]
+    assert len(parts) > 10 and all(len(p) < 1_200 for p in parts) and sum(len(json.loads(p)) for p in parts) == 200
+    assert rows(readers.read_json_array(spark, path, df.schema)) == rows(df)
+
+
+def test_numbers_of_an_array_file_are_read_once(spark, tmp_path):
+    path = put(tmp_path / "n.json", json.dumps([{"file_name": "a" * 50, "code": i} for i in range(2_000)]))
+
+    def read():
+        return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+    before = read()
+    assert readers.read_json_array(spark, path, SCHEMA).agg({"code": "sum"}).first()[0] == 1_999_000
+    assert read() - before < 3 * (tmp_path / "n.json").stat().st_size
+
+
+def test_odd_whole_numbers_of_an_array_file(spark, tmp_path):
+    odd = '1679.0, "7.00", " 8", 9.5, 1e3, "x", true, null, [1], {"a": 2}, 99999999999999999999, -0.0, -3, "", 1.5e0, 2147483648'
+    path = put(tmp_path / "o.json", "[" + ", ".join(f'{{"code": {v}}}' for v in odd.split(", ")) + "]")
+    df = readers.read_json_array(spark, path, T.StructType().add("code", T.IntegerType()))
+    assert [r.code for r in df.collect()] == [1679, 7, 8, None, None, None, None, None, None, None, None, 0, -3, None, None, None]
+
+
 def test_other_sinks(spark, rows, tmp_path):
     df = spark.createDataFrame([("a", 'x "q", y', "r1"), ("b", None, "r2")], "k string, t string, region string")
     writers.write_csv(df.select("k", "t"), f"{tmp_path}/csv")

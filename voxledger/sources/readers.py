@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,27 +23,38 @@ def _loose(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.StringType()) if isinstance(f.dataType, WHOLE) else f for f in schema])
 
 
+def _open(schema: T.StructType) -> T.StructType:
+    """Whole numbers as variants: as text, each number of a multi-line file would be read from the file once more."""
+    return T.StructType([T.StructField(f.name, T.VariantType()) if isinstance(f.dataType, WHOLE) else f for f in schema])
+
+
+def _shown(c: Column) -> Column:
+    """The text of a variant; null for a number with an exponent, which is no whole number."""
+    return F.when(F.schema_of_variant(c) != "DOUBLE", F.try_variant_get(c, "$", "string"))
+
+
 def _typed(c: Column, kind: T.DataType) -> Column:
     """Text as ``kind``; ``1679.0`` is a whole number, and what is no value of the kind is null."""
     whole = F.regexp_replace(c, r"^\s*([+-]?\d+)\.0*\s*$", "$1") if isinstance(kind, WHOLE) else c
     return whole.try_cast(kind)
 
 
-def _narrow(schema: T.StructType) -> list[Column]:
-    return [(_typed(F.col(f.name), f.dataType) if isinstance(f.dataType, WHOLE) else F.col(f.name)).alias(f.name) for f in schema]
+def _narrow(schema: T.StructType, shown: Callable[[Column], Column] = lambda c: c) -> list[Column]:
+    return [(_typed(shown(F.col(f.name)), f.dataType) if isinstance(f.dataType, WHOLE) else F.col(f.name)).alias(f.name) for f in schema]
 
 
 def read_json_array(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Files that each hold one JSON array of records (``[]`` gives no rows).
 
-    A JSON array cannot be split, so one task reads each file; keep large data in many files.
+    A JSON array cannot be split, so one task reads each file; keep large data in many files, as
+    :func:`voxledger.sources.writers.write_json_array` does.
     """
     return _json_array(spark, path, schema).select(*schema.names)
 
 
 def _json_array(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    raw = spark.read.schema(_loose(schema)).option("multiLine", True).json(path)
-    return raw.select(*_narrow(schema), F.col("_metadata.file_path").alias("_path"))
+    raw = spark.read.schema(_open(schema)).option("multiLine", True).json(path)
+    return raw.select(*_narrow(schema, _shown), F.col("_metadata.file_path").alias("_path"))
 
 
 def read_tagged(spark: SparkSession, glob: str, schema: T.StructType, *, partitioned: bool = False) -> DataFrame:
@@ -198,7 +209,7 @@ def read_optional(
     present = {name: path for name, path in inputs.items() if path_exists(spark, path)}
     missing = [(name, path, "missing") for name, path in inputs.items() if name not in present]
     skipped = spark.createDataFrame(missing, "input string, path string, reason string")
-    with_corrupt = T.StructType([*_loose(schema).fields, T.StructField(CORRUPT, T.StringType())])
+    with_corrupt = T.StructType([*_open(schema).fields, T.StructField(CORRUPT, T.StringType())])
     empty = spark.createDataFrame([], with_corrupt).withColumns({"input": F.lit(""), "path": F.lit("")})
     parts = [
         spark.read.schema(with_corrupt)
@@ -214,8 +225,9 @@ def read_optional(
     mistyped = F.lit(False)
     for f in schema:
         if isinstance(f.dataType, WHOLE):
-            mistyped = mistyped | (F.col(f.name).isNotNull() & _typed(F.col(f.name), f.dataType).isNull())
+            given = F.col(f.name)
+            mistyped = mistyped | (given.isNotNull() & ~F.is_variant_null(given) & _typed(_shown(given), f.dataType).isNull())
     bad = rows.filter(F.col(CORRUPT).isNotNull() & whole).select("input", "path", F.lit("bad json").alias("reason")).distinct()
     odd = rows.filter(F.col(CORRUPT).isNull() & mistyped).select("input", "path", F.lit("bad value").alias("reason"))
-    good = rows.filter(F.col(CORRUPT).isNull() & whole).select(*_narrow(schema), "input")
+    good = rows.filter(F.col(CORRUPT).isNull() & whole).select(*_narrow(schema, _shown), "input")
     return good, skipped.unionByName(bad).unionByName(odd)

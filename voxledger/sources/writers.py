@@ -16,21 +16,34 @@ def write_json_lines(df: DataFrame, path: str, *, mode: str = "error") -> None:
     df.write.mode(mode).json(path)
 
 
-def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    opened = False
-    for batch in batches:
-        lines = batch.column(0).to_pylist()
-        if lines:
-            marked = [("," if opened or i else "[") + line for i, line in enumerate(lines)]
-            opened = True
-            yield pa.RecordBatch.from_arrays([pa.array(marked, pa.string())], ["value"])
-    yield pa.RecordBatch.from_arrays([pa.array(["]" if opened else "[]"], pa.string())], ["value"])
+#: Characters that one array file may hold, but for a longer single record.
+ARRAY_CHARS = 16_000_000
+
+
+def _as_arrays(most: int):
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(["[" + "\n,".join(held) + "\n]"], pa.string())], ["value"])
+
+        held, size, written = [], 0, False
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                if held and size + len(line) > most:
+                    yield closed()
+                    held, size, written = [], 0, True
+                held.append(line)
+                size += len(line)
+        if held or not written:
+            yield closed()
+
+    return arrays
 
 
 def write_json_array(df: DataFrame, path: str, *, mode: str = "error") -> None:
-    """Part files that each hold one JSON array of records, written as a stream."""
+    """Part files that each hold one JSON array of records, none larger than one task should read."""
     records = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
-    records.mapInArrow(_as_array, "value string").write.mode(mode).option("compression", "none").text(path)
+    arrays = records.mapInArrow(_as_arrays(ARRAY_CHARS), "value string")
+    arrays.write.mode(mode).option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 def write_csv(df: DataFrame, path: str, *, mode: str = "error") -> None:
