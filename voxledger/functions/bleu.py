@@ -14,11 +14,12 @@ from itertools import chain, count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxledger.functions.distance import Reference
+from voxledger.functions.distance import word_edits
 from voxledger.functions.text import _col, tokenize
 
 ORDERS = (1, 2, 3, 4)
@@ -58,6 +59,33 @@ def tokenize_13a(c: Column | str) -> Column:
 
 _PLAIN = [(p, r) for p, r in TOKENIZER_13A if len(p) > 1 and "[" not in p or p == "\n"]
 _CLASSES = [(re.compile(p), r) for p, r in TOKENIZER_13A if "[" in p]
+#: What the first class of :data:`TOKENIZER_13A` matches but for the space: a space between spaces changes no token.
+_MARKS = [c for c in map(chr, range(128)) if c != " " and _CLASSES[0][0].match(c)]
+_NEIGHBOURS = re.compile(r"[.,][.,]")
+_INSIDE = re.compile(r"([0-9])([.,])(?=[0-9])")
+#: Stand for a full stop and a comma between digits.
+_HELD = {".": "\ue000", ",": "\ue001"}
+
+
+def _by_classes(lines: list[str]) -> list[list[str]]:
+    joined = "\n".join(lines)
+    for pattern, replacement in _CLASSES:
+        joined = pattern.sub(replacement, joined)
+    return [line.split() for line in joined.split("\n")]
+
+
+def _by_marks(lines: list[str]) -> list[list[str]]:
+    """:func:`_by_classes` of lines in which no full stop or comma follows another: one stays in its word between digits only."""
+    joined = "\n".join(lines)
+    for mark in _MARKS:
+        joined = joined.replace(mark, f" {mark} ")
+    if "." in joined or "," in joined:
+        joined = _INSIDE.sub(lambda m: m[1] + _HELD[m[2]], joined)
+        for mark, held in _HELD.items():
+            joined = joined.replace(mark, f" {mark} ").replace(held, mark)
+    if "-" in joined:
+        joined = _CLASSES[-1][0].sub(_CLASSES[-1][1], joined)
+    return [line.split() for line in joined.split("\n")]
 
 
 def tokens_13a(texts: Sequence[str]) -> list[list[str]]:
@@ -71,10 +99,12 @@ def tokens_13a(texts: Sequence[str]) -> list[list[str]]:
             if pattern in text:
                 text = text.replace(pattern, replacement)
         lines.append(f" {text} ")
-    joined = "\n".join(lines)
-    for pattern, replacement in _CLASSES:
-        joined = pattern.sub(replacement, joined)
-    return [line.split() for line in joined.split("\n")]
+    odd = [i for i, line in enumerate(lines) if _NEIGHBOURS.search(line) or "\ue000" in line or "\ue001" in line]
+    tokens = _by_marks(lines) if lines else []
+    if odd:
+        for i, line in zip(odd, _by_classes([lines[i] for i in odd]), strict=True):
+            tokens[i] = line
+    return tokens
 
 
 def ngram_counts(refs: Sequence[list[str]], hyps: Sequence[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,11 +170,11 @@ def _scorer(with_edits: bool):
                 ref, hyp, *words = (c.iloc[rows].tolist() for c in columns)
                 part = _pair_counts(ref, hyp)
                 if with_edits:
-                    own = []
-                    for a, b in zip(*words, strict=True):
-                        reference = None if a is None else Reference(a.split())
-                        own.append((None, None) if a is None else (len(reference.items), None if b is None else reference.distance(b.split())))
-                    part |= dict(zip(("ref_words", "edits"), (pd.array(x, "Int64") for x in zip(*own, strict=True)), strict=True))
+                    clean_ref, clean_hyp = (pa.array(c, pa.large_string()) for c in words)
+                    lengths, edits = word_edits(clean_ref, [clean_hyp])
+                    no_ref = np.asarray(clean_ref.is_null(), bool)
+                    no_pair = no_ref | np.asarray(clean_hyp.is_null(), bool)
+                    part |= {"ref_words": pd.arrays.IntegerArray(lengths, no_ref), "edits": pd.arrays.IntegerArray(edits[0], no_pair)}
                 parts.append(pd.DataFrame(part, columns=fields))
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({f: pd.array([], "Int64") for f in fields})
 
