@@ -2,6 +2,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tests.brute import distance
 from voxledger.operators import compare, languages, lookup, records
@@ -152,3 +153,23 @@ def test_top_of_any_size(spark, n):
         plan = compare._survivors(df, n, ["language"])._jdf.queryExecution().optimizedPlan().toString() + top._jdf.queryExecution().optimizedPlan().toString()
         windows = [line for line in plan.split("\n") if "Window [" in line]
         assert windows and all("_range" in line or "_bin" in line for line in windows)
+
+
+def test_a_long_top_list_scores_each_record_once(spark):
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        scored.add(1)
+        return -(i % 89) / 89
+
+    df = spark.range(3_000).select(F.lit("hot").alias("language"), score("id").alias("extreme"), F.lit(0).alias("first_spec"), F.col("id").alias("pos"))
+    top = compare.top_records_by(df, 1_500, "language").collect()
+    assert sorted(r["rank"] for r in top) == list(range(1, 1_501)) and scored.value == 3_000
+
+
+def test_bounds_of_groups_shuffle_no_record(spark):
+    df = spark.range(5_000).select((F.col("id") % 2).alias("language"), (-F.col("id") / 5_000).alias("extreme"), F.lit(0).alias("first_spec"), F.col("id").alias("pos"))
+    survivors = compare._survivors(df, 1_000, ["language"])
+    assert survivors.groupBy("language").count().count() == 2 and survivors.count() < 2_100
+    assert "BroadcastHashJoin" in survivors._jdf.queryExecution().sparkPlan().toString()

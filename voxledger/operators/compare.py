@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from voxledger.functions.distance import add_word_edits_of, error_rate
 from voxledger.operators.ordering import with_ordinal
-from voxledger.session import cut_lineage
+from voxledger.session import store
 
 
 def gather_systems(
@@ -144,14 +144,15 @@ BINS, FARTHEST = 4_096, 256.0
 def _survivors(compared: DataFrame, n: int, group: Sequence[str]) -> DataFrame:
     """The records that can be among the ``n`` most extreme of their group.
 
-    Counts by group and bin of the difference are exact; the last bin that begins before rank n bounds the group.
+    Counts by group and bin of the difference are exact; the last bin that begins before rank n bounds the group. The
+    bounds are stored, so that their size is known when the join is planned and the records need not be shuffled by group.
     """
     binned = compared.withColumn("_bin", F.floor(F.greatest(F.col("extreme"), F.lit(-FARTHEST)) * BINS))
     counts = binned.groupBy(*group, "_bin").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     last = begins.filter(F.col("_before") < n).groupBy(*group).agg(F.max("_bin").alias("_last"))
-    bounds = last.select(*[F.col(g).alias(f"_g_{g}") for g in group], "_last")
+    bounds = store(last.select(*[F.col(g).alias(f"_g_{g}") for g in group], "_last"), "bounds")
     same = F.lit(True)
     for g in group:
         same = same & binned[g].eqNullSafe(bounds[f"_g_{g}"])
@@ -161,13 +162,13 @@ def _survivors(compared: DataFrame, n: int, group: Sequence[str]) -> DataFrame:
 def top_records_by(compared: DataFrame, n: int, *group: str) -> DataFrame:
     """The ``n`` most extreme records of each group with their rank, for any ``n``; null is a group.
 
-    A small limit is applied below the shuffle. For a larger one the survivors of a histogram are stored and
-    numbered in ranges, so no task holds a group.
+    A small limit is applied below the shuffle. For a larger one the records are stored once, so that none is scored
+    again, and the survivors of a histogram are numbered in ranges, so no task holds a group.
     """
     if n < PUSHED_LIMIT:
         window = Window.partitionBy(*group).orderBy(*RECORD_ORDER)
         return compared.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n)
-    ranked = with_ordinal(cut_lineage(_survivors(compared, n, group)), RECORD_ORDER, group, "_rank")
+    ranked = with_ordinal(_survivors(store(compared, "compared"), n, group), RECORD_ORDER, group, "_rank")
     return ranked.filter(F.col("_rank") < n).select(*compared.columns, (F.col("_rank") + 1).cast("int").alias("rank"))
 
 
