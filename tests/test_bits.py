@@ -90,6 +90,16 @@ def test_a_long_alignment_holds_few_columns():
     assert most < 20e6 and time.process_time() - began < 10
 
 
+def test_a_text_that_comes_again_is_split_once():
+    ref, hyps = pa.array(["a b c"] * 4 + [None, " "]), pa.array(["a b c", "a c", "", None, "x", None])
+    words = bits.Words(ref, hyps)
+    assert len(words.codes) == 6 and words.lengths.tolist() == [[3, 3, 3, 3, 0, 0], [3, 2, 0, 0, 1, 0]]
+    assert distances.word_edits(ref, [hyps])[1].tolist() == [[0, 1, 3, 3, 1, 0]]
+    empty = pa.array([], pa.string())
+    assert distances.word_edits(empty, [empty])[1].tolist() == [[]] and len(alignment.align_arrays(empty, empty)[0]) == 0
+    assert distances.word_edits(pa.array([None], pa.string()), [pa.array([None], pa.string())])[1].tolist() == [[0]]
+
+
 def test_slices_hold_all_rows():
     a, b = pa.array(["x" * 900_000, None, "y", "z" * 3_000_000, None]), pa.array([None, "x" * 1_500_000, "", "", None])
     assert list(bits.slices(a, b)) == [(0, 1), (1, 2), (3, 1), (4, 1)]

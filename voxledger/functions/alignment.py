@@ -153,7 +153,7 @@ def align_arrays(ref: pa.Array, hyp: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n, m = words.lengths
     counts = np.zeros((len(ref), 3), dtype=np.int64)
     counts[:, 1], counts[:, 2] = np.where(m == 0, n, 0), np.where(n == 0, m, 0)
-    some = (n > 0) & (m > 0)
+    some = (n > 0) & (m > 0) & (words.which[0] != words.which[1])
     short = some & (n <= bits.SHORT) & (m <= bits.SHORT_OTHER)
     middle = some & ~short & (n <= _DIAGONAL) & (m <= _DIAGONAL)
     for rows, grouped, count in ((short, bits.groups, _walked), (middle, _groups, align_counts)):

@@ -33,21 +33,23 @@ def slices(*columns: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """The words of several columns of texts as codes, split at white space as ``str.split`` does; null has no words."""
+    """The words of several columns of texts as codes, split at white space as ``str.split`` does; null has no words.
+
+    A text that comes again, such as one reference of several hypotheses, is split once; ``which`` numbers the texts.
+    """
 
     def __init__(self, *columns: pa.Array):
         # The type with 64-bit offsets, as one very long row may pass 2 GB.
-        texts = pa.concat_arrays([c.cast(pa.large_string()) for c in columns])
-        split = pc.utf8_split_whitespace(texts)
-        sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = split.flatten()
+        known = pc.dictionary_encode(pa.concat_arrays([c.cast(pa.large_string()) for c in columns]))
+        self.which = pc.fill_null(known.indices, len(known.dictionary)).to_numpy(zero_copy_only=False).reshape(len(columns), len(columns[0]))
+        split = pc.utf8_split_whitespace(known.dictionary)
+        flat, ends = split.flatten(), np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
         # A text that begins or ends with white space has an empty word there.
         full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False).astype(bool)
-        before, ends = np.concatenate([[0], np.cumsum(full)]), np.cumsum(sizes)
         self.codes = pc.dictionary_encode(flat).indices.to_numpy(zero_copy_only=False)[full].astype(np.int32)
-        shape = len(columns), len(columns[0])
-        self.starts = before[ends - sizes].reshape(shape)
-        self.lengths = (before[ends] - before[ends - sizes]).reshape(shape)
+        edges = np.concatenate([[0], np.cumsum(full)])[np.concatenate([[0], ends])]
+        starts, lengths = edges, np.append(np.diff(edges), 0)
+        self.starts, self.lengths = starts[self.which], lengths[self.which]
 
     def of(self, column: int, row: int) -> list[int]:
         at = self.starts[column, row]

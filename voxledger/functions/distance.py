@@ -11,6 +11,8 @@ shared between rows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -76,22 +78,24 @@ def word_edits(ref: pa.Array, hyps: Sequence[pa.Array]) -> tuple[np.ndarray, np.
     """Words of each reference and word edits [hypothesis, row]; a null text counts as one without words."""
     words = bits.Words(ref, *hyps)
     n, edits = words.lengths[0], np.zeros((len(hyps), len(ref)), np.int64)
+    singly = []
     for k, out in enumerate(edits, 1):
         m = words.lengths[k]
+        other = words.which[0] != words.which[k]
+        out[:] = np.where(other, np.maximum(n, m), 0)
+        other &= (n > 0) & (m > 0)
         short = (n <= bits.SHORT) & (m <= bits.SHORT_OTHER)
-        rows = np.flatnonzero(short & (n > 0) & (m > 0))
-        out[:] = np.maximum(n, m)
+        rows = np.flatnonzero(other & short)
         for g in bits.groups(n[rows], m[rows]):
             g = rows[g]
             scores = bits.columns_of(words.table(0, g, -1), n[g], words.table(k, g, -2))
             out[g] = scores[m[g], np.arange(len(g))]
-    long: dict[int, Reference] = {}
-    for k, out in enumerate(edits, 1):
-        m = words.lengths[k]
-        for i in np.flatnonzero(((n > bits.SHORT) | (m > bits.SHORT_OTHER)) & (n > 0) & (m > 0)).tolist():
-            if i not in long:
-                long[i] = Reference(words.of(0, i))
-            out[i] = long[i].distance(words.of(k, i))
+        singly += [(words.which[0, i], i, k) for i in np.flatnonzero(other & ~short).tolist()]
+    for _, same in groupby(sorted(singly), key=itemgetter(0)):
+        reference = None
+        for _, i, k in same:
+            reference = reference or Reference(words.of(0, i))
+            edits[k - 1, i] = reference.distance(words.of(k, i))
     return n, edits
 
 
