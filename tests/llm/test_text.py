@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -330,6 +331,34 @@ def test_shards_hold_the_tokenizer_s_ids(messy, empty, spark, ids_a_file, docs_a
     assert elias_fano_ids.encode_and_read(empty, WORD_TOKENIZER, 2).count() == 0
 
 
+def shard_encoder():
+    with open(WORD_TOKENIZER) as f:
+        return elias_fano_ids.WordEncoder(f.read(), 2, 2)
+
+
+def test_parts_of_words_are_encoded_once():
+    coder, asked = shard_encoder(), []
+    tokenize = coder.tokenize
+    coder.tokenize = lambda letters: asked.append(letters) or tokenize(letters)
+    list(coder.encode(pa.array(["Zebraish zebraish, zebraish!! ZEBRAISH zebraish3.5", None, " Zebraish.\nother"])))
+    list(coder.encode(pa.array(["ZEBRAISH? Other"])))
+    assert sorted(asked) == ["other", "zebraish"]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_words_have_the_tokenizer_s_ids(kind):
+    tokenizer = Tokenizer.from_file(WORD_TOKENIZER)
+    odd = "aZßÀÞÿ×÷ſİıΣς\u212a\u212b\u1e9eH\u0331e\u0301.,!'s\x00\x1c\x85\xa0\u2003 \t\v\f\r\nN9²漢😀"
+    rng = random.Random(3)
+    texts = [None, "", "  ", "x" * 3_000, "It's DON'T we'll", *noise(300, 5)]
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randint(0, 30))) for _ in range(3_000)]
+    want = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u2").tobytes() for t in texts]
+    assert list(shard_encoder().encode(pa.array(texts, kind))) == want
+    assert list(shard_encoder().encode(pa.array(texts, kind).slice(2, 400))) == want[2:402]
+    assert list(shard_encoder().encode(pa.array([], kind))) == []
+    assert list(shard_encoder().encode(pa.nulls(2, kind))) == [b"\x02\x00"] * 2
+
+
 def test_files_of_the_tokenizers_are_found():
     assert public_tokenizers.path("word_bpe_49k.json") == WORD_TOKENIZER
 

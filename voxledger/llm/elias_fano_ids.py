@@ -28,15 +28,17 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxledger.llm.bytetext import slices
+from voxledger.llm.bytetext import buffer, slices
 from voxledger.llm.tables import stored
 from voxledger.llm.units import Memo, per_worker
 from voxledger.session import scratch_path
@@ -45,6 +47,7 @@ MAGIC = b"EFIDS001"
 SAMPLE = 64
 IDS_A_FILE = 1 << 27
 DOCS_A_FILE = 1 << 20
+SLICE_BYTES = 8_000_000  # of text whose words are coded together; more of them are equal than in a megabyte
 BLOCK = 1 << 14  # values that are coded or read at once; a multiple of eight
 
 
@@ -171,15 +174,18 @@ class Shard:
         return self.ids(self.bounds.get(i), self.bounds.get(i + 1))
 
 
-#: Small Latin-1 letters, then ASCII marks and digits without the apostrophe: the tokenizer's pattern parts the two.
-_SIMPLE = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-@\[-`{-~]*)")
+#: Latin-1 letters, then ASCII marks and digits without the apostrophe: the tokenizer's pattern parts the two.
+_SIMPLE = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-@\[-`{-~]*)$"
+_SMALL = re.compile("[a-zß-öø-ÿ]+")
 
 
 class WordEncoder:
     """Ids of texts by their distinct words, as bytes of the file's id type.
 
-    The letters of a simple word go to the tokenizer's model at once, in small letters and in its byte
-    alphabet, and the marks after them are looked up. All other words go through the whole tokenizer.
+    Arrow splits the texts of a slice, keeps each word once, and puts the ids of all words together. A simple
+    word is its letters, small, and the marks after them; each part is made once, however the words around it
+    differ. Small letters go to the tokenizer's model at once, in its byte alphabet. All others go through the
+    whole tokenizer.
     """
 
     def __init__(self, tokenizer: str, id_bytes: int, end_id: int):
@@ -192,27 +198,38 @@ class WordEncoder:
         latin = [chr(c) for c in range(0xDF, 0x100)]
         self.alphabet = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in latin})
         self.end = self._bytes([end_id])
-        self.words, self.others = Memo(self._word, 112_000_000), Memo(self._whole, 8_000_000)
+        self.made = Memo(self._part, 120_000_000)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array.array(self.kind, ids).tobytes()
 
-    def _whole(self, text: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        simple = _SIMPLE.fullmatch(text.lower())
-        if simple is None:
-            return self._whole(text)
-        letters, marks = simple.groups()
-        if not letters.isascii():
-            letters = letters.translate(self.alphabet)
-        ids = self._bytes([t.id for t in self.tokenize(letters)])
-        return ids + self.others[marks] if marks else ids
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        return [b"".join(map(self.words.__getitem__, t.encode().split() if t else ())) + self.end for t in texts]
+    def _part(self, text: str) -> bytes:
+        if not _SMALL.fullmatch(text):
+            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        letters = text if text.isascii() else text.translate(self.alphabet)
+        return self._bytes([t.id for t in self.tokenize(letters)])
+
+    def _each(self, parts: pa.Array) -> pa.Array:
+        """Ids of each part; null has null."""
+        coded = parts.dictionary_encode()
+        made = map(self.made.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False))
+        return pa.array(list(made), pa.large_binary()).take(coded.indices)
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of each word; the words are distinct."""
+        parts = pc.extract_regex(words, _SIMPLE)
+        letters, marks = pc.utf8_lower(pc.struct_field(parts, "letters")), pc.struct_field(parts, "marks")
+        simple = pc.binary_join_element_wise(self._each(letters), self._each(marks), pa.scalar(b"", pa.large_binary()))
+        whole = self._each(pc.if_else(parts.is_null(), words, pa.scalar(None, words.type)))
+        return pc.coalesce(simple, whole)
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text and the end id; null is empty."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        data, at = buffer(self._words(words.dictionary).take(words.indices))
+        cuts = at[split.offsets.to_numpy()].tolist()
+        return (data[a:b].tobytes() + self.end for a, b in pairwise(cuts))
 
 
 def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str, ids_a_file: int = IDS_A_FILE, docs_a_file: int = DOCS_A_FILE) -> DataFrame:
@@ -227,8 +244,8 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str,
         coder: WordEncoder = per_worker(("ids", tokenizer_file, end_id), lambda: WordEncoder(tokenizer.value, id_bytes, end_id))
         shard, part, writer, done = TaskContext.get().partitionId(), 0, None, []
         for batch in batches:
-            for at, column in slices(batch.column("text")):
-                for doc, ids in zip(batch.column("doc_id").slice(at, len(column)).to_pylist(), coder.encode(column.to_pylist()), strict=True):
+            for at, column in slices(batch.column("text"), SLICE_BYTES):
+                for doc, ids in zip(batch.column("doc_id").slice(at, len(column)).to_pylist(), coder.encode(column), strict=True):
                     if writer is None:
                         writer = ShardWriter(folder, f"ids-{shard:06d}-{part:04d}.efi", id_bytes)
                     writer.add(doc, ids)
